@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes (uncompressed, as Spark estimates them) up to which a side may be broadcast on purpose.
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def build_session(app: str = "phenorank", cores: str = "*", **conf: str) -> SparkSession:
@@ -82,7 +82,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenorank.llm import grouping, lookalike, overlap
+from phenorank.llm import grouping, leakage, lookalike, overlap
 from phenorank.session import table
 
 
@@ -36,6 +36,15 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.split_groups(table(spark, sf_dir, "calibration_case"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked, with the number of documents that hold them."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
 _CASES = """
 WITH flat AS (
   SELECT case_id,
@@ -94,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
 }
 
 SQL: dict[str, str] = {"p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL}

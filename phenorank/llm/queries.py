@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenorank.llm import grouping, leakage, lookalike, overlap
+from phenorank.llm import grouping, leakage, lookalike, overlap, residue
 from phenorank.session import table
 
 
@@ -45,6 +45,15 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(spark, table(spark, sf_dir, "documents"))
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that aren't template residue."""
+    return residue.without_residue(table(spark, sf_dir, "documents"))
+
+
 _CASES = """
 WITH flat AS (
   SELECT case_id,
@@ -105,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_splits": p5_splits,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_clean": p9_clean,
 }
 
 SQL: dict[str, str] = {"p4_found": P4_SQL, "p4_report": P4_REPORT_SQL, "p5_found": P5_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenorank.llm import grouping, leakage, lookalike, overlap, residue
+from phenorank.llm import grouping, leakage, lookalike, mapping, overlap, residue
 from phenorank.session import table
 
 
@@ -36,6 +36,15 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.split_groups(table(spark, sf_dir, "calibration_case"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.found(spark, table(spark, sf_dir, "phenotype_mention"), table(spark, sf_dir, "hpo_catalog_vi"), table(spark, sf_dir, "hpo_candidate"))
+
+
+def p6_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unlinked mentions that name no entry."""
+    return mapping.misses(table(spark, sf_dir, "phenotype_mention"), table(spark, sf_dir, "hpo_catalog_vi"), table(spark, sf_dir, "hpo_candidate"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -112,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p6_found": p6_found,
+    "p6_misses": p6_misses,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p9_found": p9_found,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenorank.llm import grouping, leakage, lookalike, mapping, overlap, residue
+from phenorank.llm import grouping, leakage, lookalike, mapping, overlap, packing, residue
 from phenorank.session import table
 
 
@@ -45,6 +45,15 @@ def p6_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.misses(table(spark, sf_dir, "phenotype_mention"), table(spark, sf_dir, "hpo_catalog_vi"), table(spark, sf_dir, "hpo_candidate"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers the documents take, and how little room is left."""
+    return packing.filling(spark, table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -123,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_splits": p5_splits,
     "p6_found": p6_found,
     "p6_misses": p6_misses,
+    "p7_packed": p7_packed,
+    "p7_filling": p7_filling,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p9_found": p9_found,

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenorank.session import discard, written
+
 
 def sampled_negatives(candidates: DataFrame, gold: DataFrame, most: int = 100, seed: int = 17) -> DataFrame:
     """``(case_id, profile_id, label, weight)``: a case's gold profiles and the ``most`` other candidates first by hash.
@@ -39,7 +41,7 @@ def label_problems(cases: DataFrame) -> DataFrame:
     return cases.where("case_id is not null").select("case_id", F.explode(F.array_compact(found)).alias("problem")).distinct()
 
 
-def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", weight: str | None = None, iterations: int = 25, l2: float = 1e-3) -> dict:
+def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", weight: str | None = None, iterations: int = 12, l2: float = 1e-3) -> dict:
     """Weighted logistic regression by Newton steps on z-scored features.
 
     Each step sums gradient and Hessian (features squared numbers) over all rows in Spark; nothing else is collected.
@@ -47,7 +49,7 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", wei
     """
     w = F.col(weight) if weight else F.lit(1.0)
     k = len(features)
-    base = rows.where(" and ".join(f"`{f}` is not null and not isnan(`{f}`)" for f in features)).select(*[F.col(f).cast("double") for f in features], F.col(label).cast("double").alias("__y"), w.cast("double").alias("__w"))
+    base, path = written(rows.where(" and ".join(f"`{f}` is not null and not isnan(`{f}`)" for f in features)).select(*[F.col(f).cast("double") for f in features], F.col(label).cast("double").alias("__y"), w.cast("double").alias("__w")), "training")
     s = base.agg(F.sum("__w"), F.sum(F.col("__w") * F.col("__y")), *[F.sum(F.col("__w") * F.col(f)) for f in features], *[F.sum(F.col("__w") * F.col(f) * F.col(f)) for f in features]).collect()[0]
     total, hits = s[0] or 0.0, s[1] or 0.0
     if total == 0 or hits in (0.0, total):
@@ -74,8 +76,9 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", wei
         hessian += np.diag([l2] * k + [1e-12])
         step = np.linalg.solve(hessian, gradient)
         beta -= step
-        if np.abs(step).max() < 1e-10:
+        if np.abs(step).max() < 1e-8:
             break
+    discard(rows.sparkSession, path)
     return {"mean": mean.tolist(), "scale": scale.tolist(), "coefficients": beta[:k].tolist(), "intercept": float(beta[k])}
 
 

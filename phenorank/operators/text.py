@@ -43,24 +43,25 @@ def dictionary_scan(texts: DataFrame, lexicon: DataFrame, key: str, column: str)
 def greedy_spans(spans: DataFrame, key: str) -> DataFrame:
     """Of ``spans(key, term, first, last)`` the longest from each start, left to right without overlap; ties by term.
 
-    Spans are first cut into islands that don't touch, so that a task folds one island at a time, never a whole text.
+    Spans are sorted within the partitions that hold their texts and folded as a stream: what is kept in mind is the
+    end of the last span taken, however long a text is.
     """
     w = Window.partitionBy(key, "first").orderBy(F.col("last").desc(), "term")
     longest = spans.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    before = Window.partitionBy(key).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    starts = longest.withColumn("__new", (F.col("first") > F.coalesce(F.max("last").over(before), F.lit(-1))).cast("int"))
-    island = starts.withColumn("island", F.sum("__new").over(Window.partitionBy(key).orderBy("first"))).drop("__new")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        end, keep = -1, []
-        pdf = pdf.sort_values("first")
-        for n, (first, last) in enumerate(zip(pdf["first"], pdf["last"], strict=True)):
-            if first > end:
-                keep.append(n)
-                end = last
-        return pdf.iloc[keep]
-
-    return island.groupBy(key, "island").applyInPandas(fold, island.schema).drop("island")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, end = None, -1
+        for pdf in batches:
+            keep = []
+            for k, first, last in zip(pdf[key].tolist(), pdf["first"].tolist(), pdf["last"].tolist(), strict=True):
+                if k != of:
+                    of, end = k, -1
+                keep.append(first > end)
+                if first > end:
+                    end = last
+            yield pdf[keep]
+
+    return longest.repartition(key).sortWithinPartitions(key, "first").mapInPandas(fold, longest.schema)
 
 
 def cue_assertion(mention: Column, left: Column | None = None) -> Column:

@@ -29,7 +29,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def six(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    """Rounded to six decimals; a negative zero becomes zero."""
+    return [(F.round(n, 6) + 0.0).alias(n) for n in names]
 
 
 @query(base.ONTOLOGY + "SELECT term, anc, dist FROM closed")
@@ -196,13 +197,13 @@ def abstention_reason(spark, d):
 
 @query(
     base.ALL
-    + "SELECT case_id, ord, profile_id, relation, matched_term, distance, round(sim, 6) AS sim, round(probability, 6) AS probability, round(llr, 6) AS llr, round(w * llr, 6) AS contribution FROM evidence"
+    + "SELECT case_id, ord, profile_id, relation, matched_term, distance, round(sim, 6) AS sim, round(probability, 6) AS probability, round(llr, 6) + 0.0 AS llr, round(w * llr, 6) + 0.0 AS contribution FROM evidence"
 )
 def evidence_rows(spark, d):
     return base.evidence(spark, d).select("case_id", "ord", "profile_id", "relation", "matched_term", "distance", *six("sim", "probability", "llr", "contribution"))
 
 
-_RANK = "SELECT case_id, profile_id, rank, round(ic_coverage, 6) AS ic_coverage, round(exact, 6) AS exact, round(ancestor, 6) AS ancestor, round(conflict, 6) AS conflict, round(score, 6) AS score, round(compatibility, 6) AS compatibility FROM {0} WHERE rank <= 10"
+_RANK = "SELECT case_id, profile_id, rank, round(ic_coverage, 6) AS ic_coverage, round(exact, 6) AS exact, round(ancestor, 6) AS ancestor, round(conflict, 6) AS conflict, round(score, 6) + 0.0 AS score, round(compatibility, 6) AS compatibility FROM {0} WHERE rank <= 10"
 _SHOWN = ["ic_coverage", "exact", "ancestor", "conflict", "score", "compatibility"]
 
 
@@ -264,7 +265,7 @@ def _capped(spark: SparkSession, d: str) -> DataFrame:
     return probability.group_capped(e.withColumn("contribution", F.col("w") * cap), ["case_id", "profile_id"])
 
 
-@query(base.ALL + _GROUPS + "SELECT case_id, profile_id, round(llr, 6) AS llr, capped_groups FROM capped")
+@query(base.ALL + _GROUPS + "SELECT case_id, profile_id, round(llr, 6) + 0.0 AS llr, capped_groups FROM capped")
 def group_capped_llr(spark, d):
     return _capped(spark, d).select("case_id", "profile_id", *six("llr"), "capped_groups")
 
@@ -348,7 +349,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return downstream.judged_associations(a.distinct(), ranking.ranked(base.scores(spark, d), top_k=20).select("case_id", "profile_id", "rank"))
 
 
-@query(base.ALL + _ASSOC + "SELECT case_id, gene, round(score, 6) AS score, explanations, rank FROM gene_ranks WHERE rank <= 20")
+@query(base.ALL + _ASSOC + "SELECT case_id, gene, round(score, 6) + 0.0 AS score, explanations, rank FROM gene_ranks WHERE rank <= 20")
 def gene_ranking(spark, d):
     return downstream.gene_ranking(_judged(spark, d)).select("case_id", "gene", *six("score"), "explanations", "rank")
 
@@ -374,7 +375,7 @@ def test_considerations(spark, d):
     """WITH v AS (SELECT event_id AS variant_id, 'G' || (user_id % 97) AS gene, value / 100 AS score, CASE WHEN event_type = 'error' THEN 'LowQual' ELSE 'PASS' END AS f FROM events),
 g AS (SELECT DISTINCT gene, row_number() OVER (ORDER BY n DESC, gene) AS rank FROM (SELECT gene, count(*) AS n FROM v GROUP BY 1)),
 kept AS (SELECT v.variant_id, v.gene, 0.5 * score + 0.5 / g.rank AS combined FROM v JOIN g ON g.gene = v.gene WHERE f = 'PASS' AND score BETWEEN 0 AND 1)
-SELECT variant_id, gene, round(combined, 6) AS combined, row_number() OVER (PARTITION BY gene ORDER BY round(combined, 10) DESC, variant_id) AS rank FROM kept"""
+SELECT variant_id, gene, round(combined, 9) AS combined, row_number() OVER (PARTITION BY gene ORDER BY round(combined, 10) DESC, variant_id) AS rank FROM kept"""
 )
 def variant_ranking(spark, d):
     """Events stand in for variants: the user is the gene, the value the score, errors fail the filter."""
@@ -387,7 +388,7 @@ def variant_ranking(spark, d):
         F.when(F.col("event_type") == "error", "LowQual").otherwise("PASS").alias("filter"),
     )
     genes = v.groupBy("gene").count().withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), "gene")))
-    return downstream.variant_ranking(v, genes).select("variant_id", "gene", *six("combined"), "rank")
+    return downstream.variant_ranking(v, genes).select("variant_id", "gene", F.round("combined", 9).alias("combined"), "rank")
 
 
 @query(

@@ -27,7 +27,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def six(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    """Rounded to six decimals; a negative zero becomes zero."""
+    return [(F.round(n, 6) + 0.0).alias(n) for n in names]
 
 
 def _golds(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +88,7 @@ def brier_ece(spark, d):
 
 @query(
     _SCORED
-    + """, c AS (SELECT round(score, 6) AS score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1),
+    + """, c AS (SELECT round(score, 6) + 0.0 AS score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1),
 r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT round(sum(pos * (before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM r"""
 )
@@ -97,7 +98,7 @@ def auc(spark, d):
 
 @query(
     _SCORED
-    + """, c AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT round(score, 6) AS score, label AS pos, 1 - label AS neg FROM scored UNION ALL SELECT 0.5, 0, 0) GROUP BY 1),
+    + """, c AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT round(score, 6) + 0.0 AS score, label AS pos, 1 - label AS neg FROM scored UNION ALL SELECT 0.5, 0, 0) GROUP BY 1),
 r AS (SELECT *, coalesce(sum(neg) OVER w, 0) AS bn, coalesce(sum(pos) OVER w, 0) AS bp FROM c WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT score, round(((SELECT sum(pos) FROM c) - bp) / (SELECT sum(pos) FROM c) / 2 + bn / (SELECT sum(neg) FROM c) / 2, 10) AS ba FROM r)
 SELECT score AS threshold, round(ba, 6) AS balanced_accuracy FROM b ORDER BY ba DESC, abs(score - 0.5), score LIMIT 1"""

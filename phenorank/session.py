@@ -59,6 +59,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_live: set[str] = set()
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Remove what is still there of this process's tables, as far as the session is still up."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _live:
+        try:
+            discard(spark, *_live)
+        except Exception:  # noqa: BLE001, S110
+            pass
+
+
 def written(df: DataFrame, label: str = "step", partitions: int | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: a lineage cut that no lost executor can undo.
 
@@ -68,6 +82,7 @@ def written(df: DataFrame, label: str = "step", partitions: int | None = None) -
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     out = df.coalesce(partitions) if partitions else df
     out.write.mode("overwrite").parquet(path)
+    _live.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -78,6 +93,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+    _live.difference_update(paths)
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -17,14 +17,15 @@ def _priority(relation: str) -> F.Column:
     return F.expr(f"case {relation} when 'exact' then 4 when 'profile_descendant' then 3 when 'profile_ancestor' then 3 when 'semantic' then 1 end")
 
 
-def best_matches(observations: DataFrame, similarity: DataFrame, terms: DataFrame, negative: bool = False) -> DataFrame:
-    """``(case_id, ord, profile_id, m)``: per observation and profile the best of ``terms(profile_id, term, freq)``.
+def best_matches(queries: DataFrame, similarity: DataFrame, terms: DataFrame, negative: bool = False) -> DataFrame:
+    """``(q, profile_id, m)``: per term of ``queries(term)`` and profile the best of ``terms(profile_id, term, freq)``.
 
     By relation, strength * max(freq, 0.01), nearness, term. Negative terms have frequency 0 and no semantic relation.
+    A match depends on the term alone, not on the case, so it is worked out once however many cases report the term.
     """
     rows = similarity.where("relation <> 'semantic'") if negative else similarity
     freq = F.lit(0.0) if negative else F.col("freq")
-    hits = observations.select("case_id", "ord", F.col("term").alias("q")).join(rows, "q").join(terms.withColumnRenamed("term", "t"), "t")
+    hits = queries.select(F.col("term").alias("q")).distinct().join(rows, "q").join(terms.withColumnRenamed("term", "t"), "t")
     m = F.struct(
         _priority("relation").alias("prio"),
         (F.col("strength") * F.greatest(freq, F.lit(0.01))).alias("value"),
@@ -35,7 +36,7 @@ def best_matches(observations: DataFrame, similarity: DataFrame, terms: DataFram
         "strength",
         freq.alias("freq"),
     )
-    return hits.groupBy("case_id", "ord", "profile_id").agg(F.max(m).alias("m"))
+    return hits.groupBy("q", "profile_id").agg(F.max(m).alias("m"))
 
 
 def evidence(observations: DataFrame, similarity: DataFrame, positive: DataFrame, negative: DataFrame, stats: DataFrame) -> DataFrame:
@@ -46,8 +47,7 @@ def evidence(observations: DataFrame, similarity: DataFrame, positive: DataFrame
     """
     pos = best_matches(observations, similarity, positive).withColumnRenamed("m", "p")
     neg = best_matches(observations, similarity, negative, negative=True).withColumnRenamed("m", "n")
-    rows = pos.join(neg, ["case_id", "ord", "profile_id"], "full").join(observations, ["case_id", "ord"])
-    rows = rows.join(stats.select("term", "background", "ic"), "term")
+    rows = pos.join(neg, ["q", "profile_id"], "full").withColumnRenamed("q", "term").join(stats.select("term", "background", "ic"), "term")
     absent = F.col("n").isNotNull() & (F.col("p").isNull() | (F.col("n.prio") >= F.col("p.prio")))
     p, strength = F.col("p.freq"), F.col("p.strength")
     probability = (
@@ -58,15 +58,11 @@ def evidence(observations: DataFrame, similarity: DataFrame, positive: DataFrame
         .otherwise(EPSILON + (p - EPSILON) * 0.25 * strength)
     )
     chosen = F.when(absent, F.col("n")).otherwise(F.col("p"))
-    out = rows.withColumn("absent", absent).withColumn("probability", clip(probability, EPSILON, 1 - EPSILON)).withColumn("c", chosen)
-    llr = F.when(F.col("status") == "ABSENT", F.log1p(-F.col("probability")) - F.log1p(-F.col("background"))).otherwise(F.log("probability") - F.log("background"))
-    return out.select(
-        "case_id",
-        "ord",
-        "profile_id",
+    rows = rows.withColumn("absent", absent).withColumn("probability", clip(probability, EPSILON, 1 - EPSILON)).withColumn("c", chosen)
+    # per term and profile, before the cases come in
+    known = rows.select(
         "term",
-        "status",
-        "w",
+        "profile_id",
         "background",
         "ic",
         F.when(F.col("absent"), F.concat(F.lit("profile_absent_"), F.col("c.relation"))).otherwise(F.col("c.relation")).alias("relation"),
@@ -76,8 +72,12 @@ def evidence(observations: DataFrame, similarity: DataFrame, positive: DataFrame
         "absent",
         F.col("p").isNotNull().alias("positive"),
         "probability",
-        llr.alias("llr"),
-        (F.col("w") * llr).alias("contribution"),
+        (F.log("probability") - F.log("background")).alias("__found"),
+        (F.log1p(-F.col("probability")) - F.log1p(-F.col("background"))).alias("__absent"),
+    )
+    out = observations.join(known, "term").withColumn("llr", F.when(F.col("status") == "ABSENT", F.col("__absent")).otherwise(F.col("__found")))
+    return out.select(
+        "case_id", "ord", "profile_id", "term", "status", "w", "background", "ic", "relation", "matched_term", "distance", "sim", "absent", "positive", "probability", "llr", (F.col("w") * F.col("llr")).alias("contribution")
     )
 
 

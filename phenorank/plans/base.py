@@ -30,12 +30,12 @@ def forget() -> None:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term links of the extension modules, and each catalogue entry under the place its English name ends with."""
+    """Term links of the extension modules, and each catalogue entry in a group: its English name's place and initial."""
 
     def make() -> DataFrame:
         own = hierarchy.resolved_links(table(spark, sf_dir, "hpo_term"))[1]
-        cat = table(spark, sf_dir, "hpo_catalog_vi").where("id is not null").select(F.upper(F.trim("id")).alias("child"), F.regexp_extract(F.lower("en"), r" of the ([a-z ]+)$", 1).alias("place"))
-        return own.unionByName(cat.where("place <> ''").select("child", F.concat(F.lit("PLACE:"), "place").alias("parent"))).distinct()
+        cat = table(spark, sf_dir, "hpo_catalog_vi").where("id is not null").select(F.upper(F.trim("id")).alias("child"), F.regexp_extract(F.lower("en"), r" of the ([a-z ]+)$", 1).alias("place"), F.substring(F.lower("en"), 1, 1).alias("initial"))
+        return own.unionByName(cat.where("place <> ''").select("child", F.concat(F.lit("GROUP:"), "place", F.lit("/"), "initial").alias("parent"))).distinct()
 
     return kept(spark, sf_dir, "all_links", make)
 
@@ -119,11 +119,11 @@ meant(child, parent) AS (
   UNION
   SELECT m.child, a.b FROM meant m JOIN alias a ON a.a = m.parent
 ),
-cat AS (SELECT DISTINCT upper(trim(id)) AS id, regexp_extract(lower(en), ' of the ([a-z ]+)$', 1) AS place FROM hpo_catalog_vi),
+cat AS (SELECT DISTINCT upper(trim(id)) AS id, regexp_extract(lower(en), ' of the ([a-z ]+)$', 1) AS place, substr(lower(en), 1, 1) AS initial FROM hpo_catalog_vi),
 links AS (
   SELECT DISTINCT child, parent FROM meant WHERE parent IN (SELECT id FROM live)
   UNION
-  SELECT id, 'PLACE:' || place FROM cat WHERE place <> ''
+  SELECT id, 'GROUP:' || place || '/' || initial FROM cat WHERE place <> ''
 ),
 nodes AS (SELECT id AS hpo_id FROM live UNION SELECT id FROM cat UNION SELECT parent FROM links),
 reach(node, anc, dist) AS (

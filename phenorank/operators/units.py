@@ -48,6 +48,8 @@ UNIT = (
     r"%|percent|per cent|pct|phần trăm|pour cent|per hundred thousand|per hundred|‰|permille|per mille|pro mille|pour mille"
     r"|per thousand|phần nghìn|phần ngàn|‱|per ten thousand|per 10k|phần vạn|ppm|parts per million|per million|phần triệu"
 )
+#: A longer text is prose, not a quantity.
+LONGEST = 400
 ABOUT = r"^(?:~|≈|about|around|roughly|approx\.?|approximately|circa|ca\.|c\.|khoảng|xấp xỉ|chừng|gần|environ|env\.) ?"
 RANGE = rf"^(?:from |between |từ |de |entre )?({NUMBER}) ?({UNIT})? ?(?:-|–|—|−|to|and|đến|tới|à|et) ?({NUMBER}) ?({UNIT})?$"
 RATIO = (
@@ -90,7 +92,8 @@ def common_share(df: DataFrame, categories: DataFrame, raw: str = "frequency_raw
     Classes take their value from ``categories`` (code, label, label_vi, share_ppm; fixed and small). A unit or total
     in the text wins over ``kind``; a bare number takes the unit named by ``kind``, and without one a number up to 1
     is a share and a larger one a percentage. Ranges stand for their middle, approximate values for themselves.
-    Null, empty, bounds, zero totals and words without a value give null; shares above the whole give 1000000.
+    Null, empty, bounds, zero totals and words without a value give null, and so does prose of more than ``LONGEST``
+    characters; shares above the whole give 1000000.
     Rows are kept as they are, repeated ones included; ``out`` replaces a column of that name.
     """
     spark = df.sparkSession
@@ -98,15 +101,20 @@ def common_share(df: DataFrame, categories: DataFrame, raw: str = "frequency_raw
     base = df.drop(out) if out in df.columns else df
     t = base.withColumn("__t", F.expr(f"regexp_replace({_normal(f'`{raw}`')}, {_pattern(ABOUT)}, '')"))
     t = t.withColumn("__kind", F.expr(_normal(f"`{kind}`")))
+    # one match per form: its groups are put side by side and split again; what doesn't match has no groups
+    for name, regex, groups in (("__r", RANGE, 4), ("__q", RATIO, 2), ("__s", SINGLE, 2)):
+        marked = "concat('\\u0001', " + ", '\\u0001', ".join(f"'${k}'" for k in range(1, groups + 1)) + ")"
+        t = t.withColumn(name, F.expr(f"case when __t rlike '[0-9]' and length(__t) <= {LONGEST} then split(regexp_replace(__t, {_pattern(regex)}, {marked}), '\\u0001') end"))
+    group = lambda name, k, n: f"if(size({name}) = {n + 1}, {name}[{k}], '')"
     parts = {
-        "__ra": f"regexp_extract(__t, {_pattern(RANGE)}, 1)",
-        "__ru": f"regexp_extract(__t, {_pattern(RANGE)}, 2)",
-        "__rb": f"regexp_extract(__t, {_pattern(RANGE)}, 3)",
-        "__rv": f"regexp_extract(__t, {_pattern(RANGE)}, 4)",
-        "__qa": f"regexp_extract(__t, {_pattern(RATIO)}, 1)",
-        "__qb": f"regexp_extract(__t, {_pattern(RATIO)}, 2)",
-        "__sa": f"regexp_extract(__t, {_pattern(SINGLE)}, 1)",
-        "__su": f"regexp_extract(__t, {_pattern(SINGLE)}, 2)",
+        "__ra": group("__r", 1, 4),
+        "__ru": group("__r", 2, 4),
+        "__rb": group("__r", 3, 4),
+        "__rv": group("__r", 4, 4),
+        "__qa": group("__q", 1, 2),
+        "__qb": group("__q", 2, 2),
+        "__sa": group("__s", 1, 2),
+        "__su": group("__s", 2, 2),
         "__code": "upper(regexp_extract(__t, '(?:^|[(])(hp:[0-9]{7})[)]?$', 1))",
         "__label": "trim(regexp_replace(__t, ' ?[(]hp:[0-9]{7}[)]$', ''))",
     }

@@ -2,7 +2,7 @@
 
 Only pairs of an observation and a profile that share a term ancestor are ever built. What an observation without a
 match adds to a profile's score is the same for all profiles, so it is summed once per case and corrected for the
-observations that do match.
+observations that do match; a profile that matches no observation has just that sum.
 """
 
 from __future__ import annotations
@@ -81,17 +81,41 @@ def evidence(observations: DataFrame, similarity: DataFrame, positive: DataFrame
     )
 
 
-def scores(observations: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """``(case_id, profile_id, exact, ancestor, ic_coverage, conflict, log_likelihood, score, compatibility)`` of matching pairs."""
+def _nothing() -> F.Column:
+    """What an observation without a match adds."""
+    return F.when(F.col("status") == "ABSENT", F.log1p(F.lit(-EPSILON)) - F.log1p(-F.col("background"))).otherwise(F.log(F.lit(EPSILON)) - F.log("background"))
+
+
+def _per_case(observations: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(case_id, base, w_all, ic_all, absent_all)``: the log-likelihood without any match and the weights of each case."""
     obs = observations.join(stats.select("term", "background", "ic"), "term")
-    nothing = F.when(F.col("status") == "ABSENT", F.log1p(F.lit(-EPSILON)) - F.log1p(-F.col("background"))).otherwise(F.log(F.lit(EPSILON)) - F.log("background"))
     found = F.col("status").isin("PRESENT", "SUSPECTED")
-    case = obs.groupBy("case_id").agg(
-        F.sum(F.when(F.col("status") != "NOT_ASSESSED", F.col("w") * nothing).otherwise(0.0)).alias("base"),
+    return obs.groupBy("case_id").agg(
+        F.sum(F.when(F.col("status") != "NOT_ASSESSED", F.col("w") * _nothing()).otherwise(0.0)).alias("base"),
         F.sum(F.when(found, F.col("w")).otherwise(0.0)).alias("w_all"),
         F.sum(F.when(found, F.col("w") * F.col("ic")).otherwise(0.0)).alias("ic_all"),
         F.sum(F.when(F.col("status") == "ABSENT", F.col("ic")).otherwise(0.0)).alias("absent_all"),
     )
+
+
+def unmatched(observations: DataFrame, stats: DataFrame, scored: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The columns of ``scored`` for the pairs of a case and one of ``profiles(profile_id)`` that it lacks: the case's default score.
+
+    The profiles' ids travel as one array, so the pairs that have a match are never joined.
+    """
+    everyone = profiles.agg(F.collect_set("profile_id").alias("__all"))
+    met = scored.groupBy("case_id").agg(F.collect_set("profile_id").alias("__met"))
+    case = _per_case(observations, stats).select("case_id", "base").join(met, "case_id", "left").crossJoin(F.broadcast(everyone))
+    rest = case.select("case_id", "base", F.explode(F.array_except("__all", F.coalesce("__met", F.array().cast("array<string>")))).alias("profile_id"))
+    none = {c: F.lit(0.0).alias(c) for c in scored.columns} | {"case_id": F.col("case_id"), "profile_id": F.col("profile_id"), "matches": F.lit(0).cast("bigint").alias("matches")}
+    return rest.select(*[(none | {c: F.col("base").alias(c) for c in ("log_likelihood", "score")})[c] for c in scored.columns])
+
+
+def scores(observations: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(case_id, profile_id, exact, ancestor, ic_coverage, conflict, log_likelihood, score, compatibility)`` of matching pairs; see ``unmatched``."""
+    case = _per_case(observations, stats)
+    nothing = _nothing()
+    found = F.col("status").isin("PRESENT", "SUSPECTED")
     usable = F.col("status") != "NOT_ASSESSED"
     good = found & ~F.col("absent")
     per = rows.groupBy("case_id", "profile_id").agg(
@@ -124,7 +148,7 @@ def ranked(scored: DataFrame, strategy: str = "IC_COVERAGE", top_k: int | None =
 
     IC_COVERAGE orders by coverage, exact coverage, score and id, LIKELIHOOD_SCORE by score and id, all descending;
     numbers are compared at ten decimals, so that ties don't hang on the order of a sum. ``subset(profile_id)``
-    restricts the profiles. Profiles that match no observation aren't ranked.
+    restricts the profiles. Only pairs in ``scored`` are ranked: add those without a match (``unmatched``) first.
     """
     if top_k is not None and top_k < 0:
         raise ValueError("top_k must not be negative")

@@ -30,12 +30,12 @@ def forget() -> None:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term links of the extension modules, and each catalogue entry in a group: its English name's place and initial."""
+    """Term links of the extension modules, and each catalogue entry under the place its English name ends with."""
 
     def make() -> DataFrame:
         own = hierarchy.resolved_links(table(spark, sf_dir, "hpo_term"))[1]
-        cat = table(spark, sf_dir, "hpo_catalog_vi").where("id is not null").select(F.upper(F.trim("id")).alias("child"), F.regexp_extract(F.lower("en"), r" of the ([a-z ]+)$", 1).alias("place"), F.substring(F.lower("en"), 1, 1).alias("initial"))
-        return own.unionByName(cat.where("place <> ''").select("child", F.concat(F.lit("GROUP:"), "place", F.lit("/"), "initial").alias("parent"))).distinct()
+        cat = table(spark, sf_dir, "hpo_catalog_vi").where("id is not null").select(F.upper(F.trim("id")).alias("child"), F.regexp_extract(F.lower("en"), r" of the ([a-z ]+)$", 1).alias("place"))
+        return own.unionByName(cat.where("place <> ''").select("child", F.concat(F.lit("PLACE:"), "place").alias("parent"))).distinct()
 
     return kept(spark, sf_dir, "all_links", make)
 
@@ -100,7 +100,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "scores", lambda: ranking.scores(case_observations(spark, sf_dir), evidence(spark, sf_dir), stats(spark, sf_dir)))
+    """Every case with every profile; only the pairs with a match are written."""
+    matched = kept(spark, sf_dir, "scores", lambda: ranking.scores(case_observations(spark, sf_dir), evidence(spark, sf_dir), stats(spark, sf_dir)))
+    return matched.unionByName(ranking.unmatched(case_observations(spark, sf_dir), stats(spark, sf_dir), matched, profile_rows(spark, sf_dir)))
 
 
 ONTOLOGY = """

@@ -295,7 +295,7 @@ def _priors(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_prior(spark: SparkSession, d: str) -> DataFrame:
     cohort = table(spark, d, "calibration_case").groupBy("case_id").agg(F.min("cohort_id").alias("cohort_id")).withColumn("sex", F.lit(None).cast("string"))
-    top = ranking.ranked(base.scores(spark, d)).select("case_id", "profile_id", "rank").join(_capped(spark, d), ["case_id", "profile_id"]).join(cohort, "case_id")
+    top = ranking.ranked(base.scores(spark, d)).select("case_id", "profile_id", "rank").join(_capped(spark, d), ["case_id", "profile_id"], "left").withColumn("llr", F.coalesce("llr", F.lit(0.0))).join(cohort, "case_id")
     return probability.prior_for(top, _priors(spark, d)).select("case_id", "profile_id", "rank", "llr", "prior")
 
 

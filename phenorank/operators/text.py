@@ -13,6 +13,8 @@ from phenorank.session import broadcast_if_small
 
 # What marks a finding as suspected, and what ends its left context.
 SUSPECTED_CUES = r"theo dõi|nghi ngờ|nghi|t/d|td|k/n|r/o|poss|suspected|possible"
+#: Different first words of phrases up to which places are picked by them before anything is joined.
+MOST_FIRSTS = 4096
 DELIMITERS = r"\-–—;\n/.,+"
 
 
@@ -32,7 +34,11 @@ def dictionary_scan(texts: DataFrame, lexicon: DataFrame, key: str, column: str)
     lex = lexicon.select("term", words.alias("w")).where("size(w) > 0").distinct()
     lex = lex.select("term", "w", F.when(F.size("w") > 1, F.concat_ws(" ", F.col("w")[0], F.col("w")[1])).otherwise(F.col("w")[0]).alias("head"))
     tokens = texts.where(F.col(column).isNotNull()).select(key, F.filter(F.split(normalize_text(F.col(column)), " "), lambda x: x != "").alias("t")).where("size(t) > 0")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.struct(i.alias("first"), F.slice("t", i + 1, 12).alias("next")))
+    places = F.sequence(F.lit(0), F.size("t") - 1)
+    firsts = lex.agg(F.collect_set(F.col("w")[0])).collect()[0][0]
+    if len(firsts) <= MOST_FIRSTS:  # no phrase begins elsewhere
+        places = F.filter(places, lambda i: F.get("t", i).isin(firsts))
+    pairs = F.transform(places, lambda i: F.struct(i.alias("first"), F.slice("t", i + 1, 12).alias("next")))
     at = tokens.select(key, F.explode(pairs).alias("p")).select(key, F.col("p.first").alias("first"), F.col("p.next").alias("next"))
     heads = F.explode(F.array_distinct(F.array(F.col("next")[0], F.concat_ws(" ", F.col("next")[0], F.get("next", F.lit(1))))))
     hits = at.select(key, "first", "next", heads.alias("head")).join(broadcast_if_small(lex), "head")

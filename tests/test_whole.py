@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +53,19 @@ def test_every_profile_is_ranked(spark, name, order):
     key = lambda df: {(r.case_id, r.profile_id, r.rank): r.score for r in df.itertuples()}
     assert key(got) == pytest.approx(key(want), abs=2e-5)
     assert set(got.groupby("case_id").size()) == {10}
+
+
+def plain(value: str) -> str:
+    """The reference's normalisation."""
+    value = unicodedata.normalize("NFKC", value).casefold().replace("đ", "d")
+    value = "".join(c for c in unicodedata.normalize("NFD", value) if unicodedata.category(c) != "Mn")
+    return re.sub(r"[^a-z0-9:+]+", " ", value).strip()
+
+
+def test_scan_of_all_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect() if r.text is not None]
+    names = {(r.id, plain(r.en)) for r in spark.read.parquet(f"{SMALL}/hpo_catalog_vi.parquet").select("id", "en").collect() if r.en is not None}
+    want = {(d, i) for d, t in docs for body in [f" {plain(t)} "] for i, n in names if n and f" {n} " in body}
+    got = entry.queries()["dictionary_scan"](spark, SMALL).collect()
+    assert {(r.doc_id, r.term) for r in got} == want and len(got) == len(want)
+    assert {d for d, _ in want} & {d for d, t in docs if not t.isascii()}

@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
-BARE = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd"
 EPSILON = 1e-4
 
 
+@cache
+def _marks() -> re.Pattern[str]:
+    """All nonspacing marks, as ranges."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn"]
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+")
+
+
+_KEPT = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789:+" else 32 for c in range(256))
+
+
+def plain_text(text: str) -> str:
+    if not text.isascii():
+        text = _marks().sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold().replace("đ", "d")))
+    return " ".join(text.lower().encode("ascii", "replace").translate(_KEPT).decode().split())
+
+
 def normalize_text(text: Column) -> Column:
-    """Lower case without accents; anything but a-z, 0-9, ':' and '+' is one blank; trimmed. Null stays null."""
-    plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, BARE), r"\p{M}+", "")
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9:+]+", " "))
+    """NFKC and lower case without accents; anything but a-z, 0-9, ':' and '+' is one blank; trimmed. Null stays null.
+
+    In Arrow batches, as Spark has no Unicode normalisation.
+    """
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else plain_text(t))
+
+    # nondeterministic only in name: else filters on the result are pushed down and each text is normalised twice
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
 
 
 def group_key(text: Column) -> Column:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from phenorank.functions import scalars
 from phenorank.operators import ranking
 from phenorank.plans import base
 
@@ -69,3 +70,13 @@ def test_scan_of_all_documents(spark):
     got = entry.queries()["dictionary_scan"](spark, SMALL).collect()
     assert {(r.doc_id, r.term) for r in got} == want and len(got) == len(want)
     assert {d for d, _ in want} & {d for d, t in docs if not t.isascii()}
+
+
+def test_every_mention_is_normalised(spark):
+    rows = spark.read.parquet(f"{SMALL}/phenotype_mention.parquet").select("mention_id", "mention_text").collect()
+    want = {(r.mention_id, plain(r.mention_text)) for r in rows if r.mention_text is not None}
+    got = entry.queries()["normalise_text"](spark, SMALL).collect()
+    assert {(r.mention_id, r.normal) for r in got} == want and len(got) == len(want)
+    odd = [("Ｄｅｎｓｅ ﬁngers ², Straße",), ("ÐẦU\u0309 a\u0301\u200bb",), ("  ",), (None,)]
+    got = spark.createDataFrame(odd, "x string").select("x", scalars.normalize_text(F.col("x")).alias("y")).collect()
+    assert all(r.y == (None if r.x is None else plain(r.x)) for r in got) and got[0].y == "dense fingers 2 strasse"

@@ -35,15 +35,14 @@ def dictionary_scan(texts: DataFrame, lexicon: DataFrame, key: str, column: str)
     lex = lex.select("term", "w", F.when(F.size("w") > 1, F.concat_ws(" ", F.col("w")[0], F.col("w")[1])).otherwise(F.col("w")[0]).alias("head"))
     tokens = texts.where(F.col(column).isNotNull()).select(key, F.filter(F.split(normalize_text(F.col(column)), " "), lambda x: x != "").alias("t")).where("size(t) > 0")
     places = F.sequence(F.lit(0), F.size("t") - 1)
-    firsts = lex.agg(F.collect_set(F.col("w")[0])).collect()[0][0]
+    firsts, longest = lex.agg(F.collect_set(F.col("w")[0]), F.coalesce(F.max(F.size("w")), F.lit(1))).collect()[0]
     if len(firsts) <= MOST_FIRSTS:  # no phrase begins elsewhere
         places = F.filter(places, lambda i: F.get("t", i).isin(firsts))
-    pairs = F.transform(places, lambda i: F.struct(i.alias("first"), F.slice("t", i + 1, 12).alias("next")))
+    pairs = F.transform(places, lambda i: F.struct(i.alias("first"), F.slice("t", i + 1, longest).alias("next")))
     at = tokens.select(key, F.explode(pairs).alias("p")).select(key, F.col("p.first").alias("first"), F.col("p.next").alias("next"))
     heads = F.explode(F.array_distinct(F.array(F.col("next")[0], F.concat_ws(" ", F.col("next")[0], F.get("next", F.lit(1))))))
     hits = at.select(key, "first", "next", heads.alias("head")).join(broadcast_if_small(lex), "head")
-    long_phrase = F.size("w") > 12  # compared with what follows only as far as it was cut; such phrases are rare and checked apart
-    return hits.where((F.slice("next", 1, F.size("w")) == F.col("w")) & ~long_phrase).select(key, "term", "first", (F.col("first") + F.size("w") - 1).alias("last")).distinct()
+    return hits.where(F.slice("next", 1, F.size("w")) == F.col("w")).select(key, "term", "first", (F.col("first") + F.size("w") - 1).alias("last")).distinct()
 
 
 def greedy_spans(spans: DataFrame, key: str) -> DataFrame:

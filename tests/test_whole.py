@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenorank.functions import scalars
-from phenorank.operators import ranking
+from phenorank.operators import ranking, text
 from phenorank.plans import base
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,3 +80,11 @@ def test_every_mention_is_normalised(spark):
     odd = [("Ｄｅｎｓｅ ﬁngers ², Straße",), ("ÐẦU\u0309 a\u0301\u200bb",), ("  ",), (None,)]
     got = spark.createDataFrame(odd, "x string").select("x", scalars.normalize_text(F.col("x")).alias("y")).collect()
     assert all(r.y == (None if r.x is None else plain(r.x)) for r in got) and got[0].y == "dense fingers 2 strasse"
+
+
+def test_phrases_of_any_length(spark):
+    words = [f"w{k}" for k in range(40)]
+    lex = spark.createDataFrame([("L", " ".join(words[3:33])), ("M", " ".join(words[20:33])), ("N", " ".join([*words[3:32], "x"]))], "term string, phrase string")
+    hits = text.dictionary_scan(spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string"), lex, "doc_id", "text")
+    assert sorted((r.term, r.first, r.last) for r in hits.collect()) == [("L", 3, 32), ("M", 20, 32)]
+    assert text.dictionary_scan(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), lex.limit(0), "doc_id", "text").count() == 0

@@ -13,7 +13,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -263,30 +263,46 @@ class Reference:
         def gain(m: tuple[int, int, str, float]) -> float:
             return unread[m[1]] - unread[m[0]] - m[3]
 
-        best_cost, best_ids, ties = unread[-1], [], []
-        for kind in at:  # a worthless match can't be in a best reading
-            at[kind] = sorted((m for m in at[kind] if gain(m) > 0), key=gain, reverse=True)[:40]
-        if not at["what"]:
+        best_cost = unread[-1]
+        for kind in at:  # a worthless match can't be in a best reading, nor one that is dearer than another of the same part and words
+            nearest: dict[tuple[int, int, str], tuple[int, int, str, float]] = {}
+            for m in sorted(at[kind], key=lambda m: m[3]):
+                nearest.setdefault(m[:3], m)
+            at[kind] = [*sorted((m for m in nearest.values() if gain(m) > 0), key=gain, reverse=True), none]
+        if at["what"][0] is none:
             return best_cost, [], "", 0.0
-        for what in [*at["what"], none]:
-            for where in [*at["where"], none]:
-                if what[1] > where[0] and where[1] > what[0] and what is not none and where is not none:
-                    continue
-                two = gain(what) + gain(where)
-                entries = self.entries.get((what[2], where[2]), []) if what is not none and where is not none else []
-                if entries and what[3] > FAR_WHAT * (unread[what[1]] - unread[what[0]]) / UNREAD:
-                    continue
-                if entries and what[3] + where[3] > FAR * (unread[what[1]] - unread[what[0]] + unread[where[1]] - unread[where[0]]) / UNREAD:
-                    continue
-                for how in [*at["how"], none]:
-                    if how is not none and any(m is not none and how[1] > m[0] and m[1] > how[0] for m in (what, where)):
-                        continue
-                    cost = unread[-1] - two - gain(how)
-                    if entries:
-                        agree = [e for e in entries if e[0] == how[2]] or entries
-                        ties += [(cost + (0.0 if h == how[2] else 0.02 if how is none else 0.3), id_, where[2], what[3] + where[3]) for h, id_ in agree]
-                    elif cost < best_cost:
-                        best_cost = cost
+        most_how = gain(at["how"][0])
+
+        def pairs(limit: Callable[[], float]) -> Iterator[tuple]:
+            """(what, where, their entries, gain) in falling gain for each what, as long as a reading with them may cost no more than ``limit()``."""
+            for what in at["what"]:
+                for where in at["where"]:
+                    two = gain(what) + gain(where)
+                    if unread[-1] - two - most_how > limit() + 1e-9:
+                        break
+                    if what is none or where is none:
+                        yield what, where, [], two
+                    elif what[1] <= where[0] or where[1] <= what[0]:
+                        yield what, where, self.entries.get((what[2], where[2]), []), two
+
+        def hows(what: tuple, where: tuple) -> Iterator[tuple]:
+            return (how for how in at["how"] if how is none or not any(m is not none and how[1] > m[0] and m[1] > how[0] for m in (what, where)))
+
+        for what, where, entries, two in pairs(lambda: best_cost):
+            if not entries:
+                best_cost = min(best_cost, unread[-1] - two - gain(next(hows(what, where))))
+        ties, nearest_cost = [], best_cost + CLOSE
+        for what, where, entries, two in pairs(lambda: nearest_cost + CLOSE):
+            if not entries or what[3] > FAR_WHAT * (unread[what[1]] - unread[what[0]]) / UNREAD:
+                continue
+            if what[3] + where[3] > FAR * (unread[what[1]] - unread[what[0]] + unread[where[1]] - unread[where[0]]) / UNREAD:
+                continue
+            for how in hows(what, where):
+                cost = unread[-1] - two - gain(how)
+                agree = [e for e in entries if e[0] == how[2]] or entries
+                new = [(cost + (0.0 if h == how[2] else 0.02 if how is none else 0.3), id_, where[2], what[3] + where[3]) for h, id_ in agree]
+                ties += new
+                nearest_cost = min(nearest_cost, *(t[0] for t in new))
         if not ties:
             return best_cost, [], "", 0.0
         least, _, place, off = min(ties)

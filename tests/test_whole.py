@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenorank.functions import scalars
+from phenorank.llm import mapping
 from phenorank.operators import ranking, text
 from phenorank.plans import base
 
@@ -88,3 +89,11 @@ def test_phrases_of_any_length(spark):
     hits = text.dictionary_scan(spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string"), lex, "doc_id", "text")
     assert sorted((r.term, r.first, r.last) for r in hits.collect()) == [("L", 3, 32), ("M", 20, 32)]
     assert text.dictionary_scan(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), lex.limit(0), "doc_id", "text").count() == 0
+
+
+def test_readings_of_many_matches():
+    ref = mapping.Reference.__new__(mapping.Reference)
+    ref.longest, ref.entries = 4, {("Z", "Y"): [("", "ID")]}
+    ref.lookup = lambda shown, plain, edits, lenient: {"xxxx": [("what", "X", 0.0)], "zzzz": [("what", "Z", 0.0)], "yyyy": [("where", "Y", 0.0)]}.get(shown, [])
+    assert ref._readings([*["xxxx"] * 45, "zzzz", "yyyy"], 0, False)[1] == ["ID"]
+    assert ref._readings([*["xxxx"] * 45, "yyyy"], 0, False)[1] == []

@@ -75,21 +75,10 @@ SIGNS: dict[str, tuple[str, ...]] = {
     ". . .": ("line",),
     "………": ("line",),
     "(blank)": ("line",),
-    "/mm": ("date mask",),
-    "/MM": ("date mask",),
-    "-mm-": ("date mask",),
-    "-MM-": ("date mask",),
-    ".mm.": ("date mask",),
-    ".MM.": ("date mask",),
-    "mm/dd": ("date mask",),
-    "MM/DD": ("date mask",),
-    "/tt/": ("date mask",),
-    "XX/": ("date mask",),
-    "XX-": ("date mask",),
-    "XX.": ("date mask",),
-    "xx/": ("date mask",),
     "(": ("to be filled",),
 }
+#: The middle of every date mask between its separators, in lower case: these signs hold for any case.
+DATE_SIGNS = tuple(separator + middle + separator for separator in "/.-" for middle in ("mm", "dd", "tt", "xx"))
 _FIELD = {name: re.compile(pattern) for name, pattern in FIELDS.items()}
 _CODE = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]+`|<(code|pre)\b.*?</\1>", re.S | re.I)
 _TUTORIAL = re.compile(
@@ -150,6 +139,9 @@ def _even(text: str) -> str:
 def has_open_field(text: str) -> bool:
     """Whether a field of a form or template was left unfilled; ``text`` in even spelling."""
     names = {name for sign, those in SIGNS.items() if sign in text for name in those}
+    lower = text.lower()
+    if any(sign in lower for sign in DATE_SIGNS):
+        names.add("date mask")
     if not names:
         return False
     if "`" in text or "~~~" in text or "<" in text:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenorank.functions import scalars
-from phenorank.llm import mapping
+from phenorank.llm import mapping, residue
 from phenorank.operators import ranking, text
 from phenorank.plans import base
 
@@ -97,3 +98,10 @@ def test_readings_of_many_matches():
     ref.lookup = lambda shown, plain, edits, lenient: {"xxxx": [("what", "X", 0.0)], "zzzz": [("what", "Z", 0.0)], "yyyy": [("where", "Y", 0.0)]}.get(shown, [])
     assert ref._readings([*["xxxx"] * 45, "zzzz", "yyyy"], 0, False)[1] == ["ID"]
     assert ref._readings([*["xxxx"] * 45, "yyyy"], 0, False)[1] == []
+
+
+def test_every_date_mask_is_a_field():
+    masks = [s.join(p) for s in "/.-" for p in itertools.product(("dd", "jj", "mm", "nn"), ("mm", "dd", "tt"), ("yyyy", "yy", "aaaa", "nnnn"))]
+    masks = [*masks, *map(str.upper, masks), *map(str.title, masks), *[s.join(p) for s in "/.-" for p in itertools.product(("XX", "xx", "Xx"), ("XX", "xx"), ("XXXX", "xx"))]]
+    assert all(residue._FIELD["date mask"].search(m) for m in masks)
+    assert [m for m in masks if not residue.has_open_field(f"Examined on {m} at the clinic")] == []

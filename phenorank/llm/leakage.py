@@ -1,11 +1,9 @@
-"""Evaluation passages inside training text, by size-partitioned MinHash containment search.
-
-MinHash compares sets of about the same size, and a passage is a tiny part of a long document. So both sides are cut
-into pieces of one size (a run of shingles): documents by a fixed stride, items at every offset. A piece's signature
-are its minima under a few permutations; a document piece hits where one of its minima is a minimum of an item piece.
-Stretches of a document with enough hitting pieces are its candidates, their number being the estimate of how much of
-an item they contain. Candidates are verified by exact shingle containment and by aligning the words. Documents are
-read once per block of items, and nothing is shuffled but the found pairs.
+"""Evaluation passages inside training text, by exact shingle containment.
+
+A passage of which at most one word in so many is changed keeps a number of shingles whole, so stretches of a document
+with that many of the items' shingles within the span of a shortest passage are its candidates: none is lost. They are
+verified by the shingles of each item and by aligning the words. Documents are read once per block of items, and
+nothing is shuffled but the found pairs.
 """
 
 from __future__ import annotations
@@ -14,29 +12,23 @@ import difflib
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenorank.llm.words import folded, mixed, shingles, word_hashes
+from phenorank.llm.words import folded, shingles, word_hashes
 
 
 @dataclass(frozen=True)
 class Search:
-    """Words of a passage at least, one word in how many may differ, and the search's sizes."""
+    """Words of a passage at least, one word in how many may differ, and words of a shingle."""
 
     passage: int = 30
     one_in: int = 10
     shingle: int = 5
-    piece: int = 8
-    stride: int = 4
-    permutations: int = 4
-    #: pieces that must hit within the span of one passage
-    hits: int = 2
-    seeds: tuple[int, ...] = field(default=(0x51ED270B, 0x2545F491, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646C))
 
     @property
     def errors(self) -> int:
@@ -48,26 +40,8 @@ class Search:
         return max(1, self.passage - self.shingle + 1 - self.errors * self.shingle)
 
 
-def _minima(codes: np.ndarray, search: Search, stride: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Starts of pieces and their minima under each permutation."""
-    n = len(codes) - search.piece + 1
-    if n <= 0:
-        starts = np.zeros(1 if len(codes) else 0, np.int64)
-        return starts, [mixed(codes ^ np.uint64(s * 0x100000001 & (1 << 64) - 1)).min(keepdims=True) if len(codes) else codes for s in search.seeds[: search.permutations]]
-    starts = np.arange(0, n, stride)
-    out = []
-    for seed in search.seeds[: search.permutations]:
-        p = (codes ^ np.uint64(seed * 0x100000001)) * np.uint64(0x9FB21C651E98DF25)
-        p ^= p >> np.uint64(35)
-        p *= np.uint64(0xD6E8FEB86659FD93)
-        width, low = 1, p
-        while width * 2 <= search.piece:  # minima of runs of 2, 4, 8 ...
-            low = np.minimum(low[: len(low) - width], low[width:])
-            width *= 2
-        if width < search.piece:
-            low = np.minimum(low[:n], low[search.piece - width :][:n])
-        out.append(low[starts])
-    return starts, out
+#: Bits of a shingle by which most shingles that no item has are told before they are looked up.
+_BITS = 22
 
 
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -79,13 +53,13 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Evaluation items with their shingles and the minima of their pieces."""
+    """Evaluation items with their shingles."""
 
     def __init__(self, rows: list[tuple[int, str]], search: Search):
         self.search = search
         self.words: dict[int, np.ndarray] = {}
         self.chunk: dict[int, np.ndarray] = {}
-        codes, owner, minima = [], [], [[] for _ in range(search.permutations)]
+        codes, owner = [], []
         for item, text in rows:
             joined = folded(text)
             words, _, place = word_hashes([joined])
@@ -97,13 +71,12 @@ class Items:
             own = shingles(words, search.shingle)
             codes.append(own)
             owner += [item] * len(own)
-            for k, low in enumerate(_minima(own, search, 1)[1]):
-                minima[k].append(low)
         flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.codes, self.owner = flat[order], np.asarray(owner, np.int64)[order]
         self.distinct = np.unique(self.codes)
-        self.minima = [np.unique(np.concatenate(m)) if m else np.empty(0, np.uint64) for m in minima]
+        self.likely = np.zeros(1 << _BITS, bool)
+        self.likely[self.distinct >> np.uint64(64 - _BITS)] = True
 
     def owners(self, codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(place in ``codes``, items that have this shingle)."""
@@ -144,22 +117,8 @@ def search_batch(ids: list[int], texts: list[bytes], items: Items) -> list[tuple
     codes = shingles(words, search.shingle)
     if not len(codes):
         return []
-    starts, minima = _minima(codes, search, search.stride)
-    hit = np.zeros(len(starts), bool)
-    for low, known in zip(minima, items.minima, strict=True):
-        hit |= _member(low, known)
-    # enough hitting pieces within one passage, spread by the passage to both sides
-    span = math.ceil((search.passage + search.errors + search.piece) / search.stride)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    after = np.minimum(np.arange(len(hit)) + span, len(hit))
-    dense = np.flatnonzero(hit & (total[after] - total[:-1] >= search.hits))
-    if not len(dense):
-        return []
-    wanted = np.zeros(len(codes) + 1, np.int32)
     reach = search.passage + search.errors
-    np.add.at(wanted, np.maximum(starts[dense] - reach, 0), 1)
-    np.add.at(wanted, np.minimum(starts[dense] + span * search.stride + reach, len(codes)), -1)
-    places = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
+    places = np.flatnonzero(items.likely[codes >> np.uint64(64 - _BITS)])
     # shingles over the end of a text aren't any
     places = places[text_of[places] == text_of[places + search.shingle - 1]]
     exact = places[_member(codes[places], items.distinct)]

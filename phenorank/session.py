@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes (uncompressed, as Spark estimates them) up to which a side may be broadcast on purpose.
@@ -86,6 +86,13 @@ def written(df: DataFrame, label: str = "step", partitions: int | None = None) -
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written_counting(df: DataFrame, label: str = "step", **counts: Column) -> tuple[DataFrame, str, dict[str, int]]:
+    """:func:`written`, with aggregates of the rows that the write itself works out, so that they need no job of their own."""
+    seen = Observation()
+    out, path = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()]), label)
+    return out, path, {k: v or 0 for k, v in seen.get.items()}
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables made by :func:`written`."""
     jvm = spark.sparkContext._jvm

@@ -76,3 +76,28 @@ def test_long_chain(spark):
     nodes = spark.createDataFrame([(f"N{k:04d}",) for k in range(151)], "hpo_id string")
     got = {r.hpo_id: r.depth for r in hierarchy.paths(nodes, links).collect()}
     assert got["N0000"] == 150 and got["N0150"] == 0
+
+
+def test_pointers_into_cycles(spark, monkeypatch):
+    rounds = []
+    real = hierarchy.written_counting
+    monkeypatch.setattr(hierarchy, "written_counting", lambda *a, **k: rounds.append(a[1]) or real(*a, **k))
+    for rows, want in (
+        ([("x", "a"), ("a", "b"), ("b", "a"), ("y", "z")], {("y", "z")}),
+        ([("a", "b"), ("b", "c"), ("c", "a")], set()),
+        ([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", None), ("f", "e")], {("e", None), ("f", None)}),
+    ):
+        rounds.clear()
+        got = hierarchy.follow_pointers(spark.createDataFrame(rows, "node string, ptr string"))
+        assert {tuple(r) for r in got.collect()} == want
+        assert len(rounds) <= len(rows).bit_length() + 2
+
+
+def test_cycles_above_cycles(spark):
+    """Cycles that hang on cycles with smaller and larger ids, a smallest node between two, chains at both ends."""
+    links = [("D", "E"), ("E", "D"), ("D", "A"), ("A", "G"), ("G", "H"), ("H", "I"), ("I", "G"), ("I", "B"), ("B", "C"), ("C", "B"), ("C", "Z1"), ("Z1", "Z2"), ("L1", "L2"), ("L2", "E"), ("S", "S"), ("Y", "S")]
+    got = {r.hpo_id: r.cycle_id for r in hierarchy.cycles(spark.createDataFrame(links, "child string, parent string")).collect()}
+    assert got == {"D": "D", "E": "D", "G": "G", "H": "G", "I": "G", "B": "B", "C": "B", "S": "S"}
+    ring = [(f"N{k:03d}", f"N{(k + 1) % 100:03d}") for k in range(100)]
+    got = {r.hpo_id: r.cycle_id for r in hierarchy.cycles(spark.createDataFrame(ring, "child string, parent string")).collect()}
+    assert len(got) == 100 and set(got.values()) == {"N000"}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import random
 import re
 import unicodedata
 
@@ -13,8 +11,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenorank.functions import scalars
-from phenorank.llm import leakage, mapping, residue
-from phenorank.llm.words import folded
 from phenorank.operators import ranking, text
 from phenorank.plans import base
 
@@ -92,32 +88,3 @@ def test_phrases_of_any_length(spark):
     hits = text.dictionary_scan(spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string"), lex, "doc_id", "text")
     assert sorted((r.term, r.first, r.last) for r in hits.collect()) == [("L", 3, 32), ("M", 20, 32)]
     assert text.dictionary_scan(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), lex.limit(0), "doc_id", "text").count() == 0
-
-
-def test_readings_of_many_matches():
-    ref = mapping.Reference.__new__(mapping.Reference)
-    ref.longest, ref.entries = 4, {("Z", "Y"): [("", "ID")]}
-    ref.lookup = lambda shown, plain, edits, lenient: {"xxxx": [("what", "X", 0.0)], "zzzz": [("what", "Z", 0.0)], "yyyy": [("where", "Y", 0.0)]}.get(shown, [])
-    assert ref._readings([*["xxxx"] * 45, "zzzz", "yyyy"], 0, False)[1] == ["ID"]
-    assert ref._readings([*["xxxx"] * 45, "yyyy"], 0, False)[1] == []
-
-
-def test_every_date_mask_is_a_field():
-    masks = [s.join(p) for s in "/.-" for p in itertools.product(("dd", "jj", "mm", "nn"), ("mm", "dd", "tt"), ("yyyy", "yy", "aaaa", "nnnn"))]
-    masks = [*masks, *map(str.upper, masks), *map(str.title, masks), *[s.join(p) for s in "/.-" for p in itertools.product(("XX", "xx", "Xx"), ("XX", "xx"), ("XXXX", "xx"))]]
-    assert all(residue._FIELD["date mask"].search(m) for m in masks)
-    assert [m for m in masks if not residue.has_open_field(f"Examined on {m} at the clinic")] == []
-
-
-def test_passages_with_evenly_spaced_changes():
-    rng, search = random.Random(11), leakage.Search()
-    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
-    lost = 0
-    for k in range(0, 3000, 100):
-        items = [[word() for _ in range(30)] for _ in range(100)]
-        known = leakage.Items([(k + n, " ".join(item)) for n, item in enumerate(items)], search)
-        texts = [" ".join([word() for _ in range(60)] + [word() if n in (8, 16, 23) else w for n, w in enumerate(item)] + [word() for _ in range(60)]) for item in items]
-        found = leakage.search_batch(list(range(k, k + 100)), [folded(t) for t in texts], known)
-        assert all(a == b for a, b in found)
-        lost += 100 - len(found)
-    assert lost == 0

@@ -8,6 +8,7 @@ residue is settled line by line and sentence by sentence: the first unit with co
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,7 @@ FIELDS: dict[str, str] = {
     "named brackets": r"\[[A-ZÀ-Ỹ]{2,}(?:_[A-ZÀ-Ỹ\d]+)+\]|\[[a-zà-ỹ]+(?:_[a-zà-ỹ\d]+)+\]",
     "double angles": rf"<<\s?{NAME}\s?>>",
     "asking angles": rf"<\s?(?i:{VERBS})\b[^<>\n]{{0,60}}>",
-    "named angles": r"<[^\W\d_]+(?:_\w+)+>",
+    "named angles": r"<[^\W\d_]+_\w+>",
     "guillemets": rf"«{NAME}»",
     "at signs": rf"@@\s?{NAME}\s?@@",
     "underscored": r"(?<!\w)__[^\W\d_]\w*?(?:[.\- ]\w+?){0,4}__(?!\w)",
@@ -80,7 +81,7 @@ SIGNS: dict[str, tuple[str, ...]] = {
 #: The middle of every date mask between its separators, in lower case: these signs hold for any case.
 DATE_SIGNS = tuple(separator + middle + separator for separator in "/.-" for middle in ("mm", "dd", "tt", "xx"))
 _FIELD = {name: re.compile(pattern) for name, pattern in FIELDS.items()}
-_CODE = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]+`|<(code|pre)\b.*?</\1>", re.S | re.I)
+_INLINE = re.compile(r"`[^`\n]+`")
 _TUTORIAL = re.compile(
     r"\b(?:placeholders?|template (?:syntax|engine|language|variable)|syntax|tutorial|for example|e\.g\.|is written as|are written as|written in the form|in the format|the format|format is|variables? (?:called|named|like)|escap(?:e|ed|ing)"
     r"|cú pháp|ví dụ|định dạng|viết theo dạng|dưới dạng|biến mẫu|syntaxe|par exemple|au format|le format|gabarit)\b",
@@ -89,8 +90,8 @@ _TUTORIAL = re.compile(
 
 # Wording of page furniture, filler, errors and script notices, in lower case, for a whole line or sentence.
 _FURNITURE = re.compile(
-    r"[^|]{1,40}(?: ?\| ?[^|]{1,40}){1,9}|(?:©|\(c\)|copyright).{0,80}|all rights reserved|request id:? ?[\w\-]+|(?:back|return) to .{1,40}|go back\b.{0,60}|quay lại\b.{0,40}|về trang chủ"
-    r"|trang chủ|retour\b.{0,40}|revenir\b.{0,40}|accueil|home|contact(?: us)?|liên hệ|menu|search|tìm kiếm|rechercher|log ?in|sign in|đăng nhập|connexion|help|skip to (?:main )?content|case viewer ?\d*"
+    r"[^|]{1,42}(?:\|[^|]{1,42}){1,9}|(?:©|\(c\)|copyright).{0,80}|all rights reserved|request id:? ?[\w\-]+|(?:back|return) to .{1,40}|go back\b.{0,60}|quay lại\b.{0,40}|về trang chủ"
+    r"|trang chủ|retour\b.{0,40}|revenir\b.{0,40}|accueil|home|contact(?: us)?|liên hệ|menu|search|tìm kiếm|rechercher|log ?in|sign in|đăng nhập|connexion|help|skip to (?:main )?content"
     r"|(?:page|trang) \d+(?: ?(?:of|/|trên|sur) ?\d+)?|privacy(?: policy)?|terms of (?:use|service)|cookie (?:policy|settings)|share|print(?: this page)?|\W*"
 )
 _ERROR = re.compile(
@@ -108,14 +109,14 @@ _ERROR = re.compile(
 )
 _SCRIPT = re.compile(
     r"(?:please )?(?:enable|activate|turn on|allow|switch on) (?:javascript|java script|scripts?|scripting|cookies)\b.{0,120}|(?:vui lòng|hãy|xin|bạn cần) (?:bật|kích hoạt|cho phép) (?:javascript|tập lệnh|cookie|script)\b.{0,120}|(?:veuillez|merci d')? ?activer (?:javascript|les scripts|les cookies)\b.{0,120}"
-    r"|(?:this|the|our) (?:\w+ ){0,3}(?:requires?|needs?|uses?|relies on) (?:javascript|scripts?|cookies)\b.{0,120}|this needs scripts\b.{0,60}|turn (?:them|it|javascript|scripts) on\b.{0,80}|we(?:'|’)?re sorry,? but\b.{0,160}|you need (?:to enable|to turn on|a (?:modern )?browser|javascript)\b.{0,120}"
+    r"|(?:this|the|our) (?:\w+ ){0,3}(?:requires?|needs?|uses?|relies on) (?:javascript|scripts?|cookies)\b.{0,120}|turn (?:them|it|javascript|scripts) on\b.{0,80}|we(?:'|’)?re sorry,? but\b.{0,160}|you need (?:to enable|to turn on|a (?:modern )?browser|javascript)\b.{0,120}"
     r"|noscript\b.{0,120}|<noscript>.{0,160}|checking your browser\b.{0,100}|trình duyệt\b.{0,40}\b(?:chặn|không hỗ trợ|đã tắt|chưa bật)\b.{0,100}|votre navigateur\b.{0,120}|your browser (?:does not|doesn't|is|has|blocks|must)\b.{0,120}|javascript (?:is|must be|has been|seems|appears|est|đang|cần|bị)\b.{0,100}"
     r"|(?:this )?content is loaded dynamically\b.{0,80}|(?:please )?(?:verify|confirm) (?:that )?you are (?:a )?human\b.{0,60}|loading(?:\.{3}|…)?|đang tải(?:\.{3}|…)?|chargement(?:\.{3}|…)?"
 )
 _FILLER = re.compile(
     r"(?:\w+ ){0,4}goes here\b.{0,60}|(?:your|add|insert|enter|place|type) (?:\w+ ){0,3}here|replace (?:this|me|the)\b.{0,80}|(?:this is )?(?:a |some )?(?:sample|dummy|placeholder|filler|example) (?:text|content|paragraph|copy)\b.{0,80}|(?:text|content) to be (?:added|replaced)\b.{0,40}"
     r"|nội dung (?:mẫu|giữ chỗ|tạm)\b.{0,60}|(?:đoạn văn|văn bản|đoạn|chữ) (?:giữ chỗ|mẫu|tạm)\b.{0,60}|tiêu đề (?:mẫu|phụ|ở đây)\b.{0,40}|texte (?:provisoire|d'exemple|de remplissage|factice|à remplacer)\b.{0,60}|contenu (?:à venir|provisoire|d'exemple)\b.{0,40}"
-    r"|(?:x{3,}\W*)+|(?:(?:asdf|qwer|qwerty|zxcv|hjkl|jkl|asd|blah|bla|foo|bar|baz|test|testing)\W*){2,}|(\w+)(?:[ ,]+\1){2,}\W*|click (?:here )?to (?:edit|add)\b.{0,60}|coming soon|edit this (?:text|block|paragraph)\b.{0,40}|(?:sub)?(?:heading|title)(?: \d+)?"
+    r"|x{3,}(?:\W+x{3,})*\W*|(?:asdf|qwer|qwerty|zxcv|hjkl|jkl|asd|blah|bla|foo|bar|baz|test|testing)(?:\W+(?:asdf|qwer|qwerty|zxcv|hjkl|jkl|asd|blah|bla|foo|bar|baz|test|testing))+\W*|(\w+)(?:[ ,]+\1){2,}\W*|click (?:here )?to (?:edit|add)\b.{0,60}|coming soon|edit this (?:text|block|paragraph)\b.{0,40}|(?:sub)?(?:heading|title)(?: \d+)?"
 )
 # The words of the usual Latin filler.
 LATIN = frozenset(
@@ -124,6 +125,8 @@ LATIN = frozenset(
 )
 #: Anything but ASCII, composed Latin letters and common punctuation.
 _ODD = re.compile("[^\x00-\xac\xae-\u024f\u1e00-\u1eff\u2013-\u2014\u2018-\u201f\u2022\u2026\u2030-\u203a\u20ac\u2122]")
+#: A label with a running number, where it is no error.
+_NUMBERED = re.compile(r"(?:[^\W\d_]+ ){1,3}#?\d+")
 _UNIT = re.compile(r"[^\n\r]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"\w+")
@@ -136,6 +139,35 @@ def _even(text: str) -> str:
     return "\n".join([line if line.isascii() else by_table(line) for line in text.splitlines()])
 
 
+def _without_pairs(text: str, mark: str) -> str:
+    """``text`` without what stands between two marks; an unpaired last mark opens nothing."""
+    if mark not in text:
+        return text
+    parts = text.split(mark)
+    odd = len(parts) % 2 == 0
+    kept = parts[::2] + [mark + parts[-1]] if odd else parts[::2]
+    return " ".join(kept)
+
+
+def without_code(text: str) -> str:
+    """``text`` without fenced and inline code and without code elements; one pass per kind of mark."""
+    text = _without_pairs(_without_pairs(text, "```"), "~~~")
+    if "`" in text:
+        text = _INLINE.sub(" ", text)
+    for name in ("code", "pre"):
+        opening, closing = re.compile(rf"<{name}\b", re.I), re.compile(rf"</{name}>", re.I)
+        kept, at = [], 0
+        while (start := opening.search(text, at)) and (end := closing.search(text, start.end())):
+            kept.append(text[at : start.start()])
+            at = end.end()
+        text = " ".join([*kept, text[at:]])
+    return text
+
+
+_BREAKS_BEFORE = re.compile(r"\. |\n|! |\? ")
+_BREAKS_AFTER = re.compile(r"\. |\n")
+
+
 def has_open_field(text: str) -> bool:
     """Whether a field of a form or template was left unfilled; ``text`` in even spelling."""
     names = {name for sign, those in SIGNS.items() if sign in text for name in those}
@@ -145,15 +177,28 @@ def has_open_field(text: str) -> bool:
     if not names:
         return False
     if "`" in text or "~~~" in text or "<" in text:
-        text = _CODE.sub(" ", text)
+        text = without_code(text)
+    fields = [match.span() for name in names for match in _FIELD[name].finditer(text)]
+    if not fields:
+        return False
+    mentions = [match.span() for match in _TUTORIAL.finditer(text)]
+    if not mentions:
+        return True
+    # the sentence of each field, by bisection in what is found once: linear in the text however many fields it has
+    starts, ends = [m[0] for m in mentions], [m[1] for m in mentions]
+    before = [m.end() for m in _BREAKS_BEFORE.finditer(text)]
+    after = [m.start() for m in _BREAKS_AFTER.finditer(text)]
     doubtful = 0
-    for name in names:
-        for match in _FIELD[name].finditer(text):
-            low = max(text.rfind(mark, 0, match.start()) for mark in (". ", "\n", "! ", "? ")) + 1
-            high = min((k for mark in (". ", "\n") if (k := text.find(mark, match.end())) >= 0), default=len(text))
-            if not _TUTORIAL.search(text[low : match.start()]) and not _TUTORIAL.search(text[match.end() : high]):
-                return True
-            doubtful += 1
+    for start, end in fields:
+        k = bisect_right(before, start) - 1
+        low = before[k] if k >= 0 else 0
+        k = bisect_left(after, end)
+        high = after[k] if k < len(after) else len(text)
+        told_before = bisect_right(ends, start) > bisect_left(starts, low)
+        told_after = bisect_right(ends, high) > bisect_left(starts, end)
+        if not told_before and not told_after:
+            return True
+        doubtful += 1
     # a text that explains fields has a few among many words; a form has them densely
     return doubtful >= 4 and doubtful * 12 > len(_WORD.findall(text))
 
@@ -165,8 +210,10 @@ def _unit_kind(unit: str) -> str:
         return "furniture"
     if _ERROR.fullmatch(unit) or _SCRIPT.fullmatch(unit) or _FILLER.fullmatch(unit):
         return "bad"
+    if _NUMBERED.fullmatch(unit):
+        return "furniture"
     words = _WORD.findall(unit)
-    if words and sum(w in LATIN for w in words) >= 0.8 * len(words) and (len(words) > 2 or "lorem" in words):
+    if words and not _SENTENCE.search(unit) and sum(w in LATIN for w in words) >= 0.8 * len(words) and (len(words) > 2 or "lorem" in words):
         return "bad"
     return "content"
 
@@ -178,7 +225,7 @@ def only_residue(text: str) -> bool:
         whole = line[0].strip().lower()
         if not whole:
             continue
-        kind = _unit_kind(whole) if len(whole) <= 400 else "content"
+        kind = _unit_kind(whole)
         if kind == "content":
             for sentence in _SENTENCE.split(whole):
                 kind = _unit_kind(sentence)

@@ -18,6 +18,12 @@ def first_hit(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("case_id").distinct().join(hits, "case_id", "left")
 
 
+def hit_rank(places: DataFrame, truth: DataFrame) -> DataFrame:
+    """``(case_id, hit_rank)`` as of :func:`first_hit`, from the places of the true profiles alone among all that were ranked."""
+    hits = places.groupBy("case_id").agg(F.min("rank").alias("hit_rank"))
+    return truth.select("case_id").distinct().join(hits, "case_id", "left")
+
+
 def ranking_metrics(hits: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """One row: number of cases, accuracy within the first k, mean reciprocal rank."""
     shares = [F.avg(F.coalesce(F.col("hit_rank") <= k, F.lit(False)).cast("double")).alias(f"top_{k}") for k in ks]

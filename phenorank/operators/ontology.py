@@ -77,13 +77,26 @@ def smoothed_ic(terms: DataFrame, frequency: DataFrame, profiles: int) -> DataFr
     return terms.join(frequency, "term", "left").select("term", (-F.log((F.coalesce("df", F.lit(0)) + 1.0) / (profiles + 1.0))).alias("ic"))
 
 
-def term_similarity(queries: DataFrame, targets: DataFrame, closed_terms: DataFrame, stats: DataFrame) -> DataFrame:
+def trunk(closed_terms: DataFrame, stats: DataFrame, root: str) -> tuple[list[str], str | None, float]:
+    """The root with what is above it, the most informative of these terms (ties by the larger id), and its information.
+
+    All terms of the branch meet there, so what they have in common through it needs no pair of its own. A handful of rows.
+    """
+    rows = closed_terms.where(F.col("term") == root).join(stats.select(F.col("term").alias("anc"), "ic"), "anc").select("anc", "ic").collect()
+    best = max(((r.ic, r.anc) for r in rows), default=(0.0, None))
+    return [r.anc for r in rows], best[1], best[0]
+
+
+def term_similarity(queries: DataFrame, targets: DataFrame, closed_terms: DataFrame, stats: DataFrame, skip: list[str] | None = None) -> DataFrame:
     """``(q, t, relation, dist, sim, strength)`` for all pairs of ``queries(term)`` and ``targets(term)`` with a common ancestor.
 
     exact; profile_descendant (q above t); profile_ancestor (t above q): strength max(sim, 0.5 ** dist) with
     sim = IC(t) / IC(q) up to 1; semantic: over the common ancestor with the most information, ties by the larger id,
-    sim = strength = IC(mica) / IC(q). Pairs whose best common ancestor has no information are left out.
+    sim = strength = IC(mica) / IC(q). Pairs whose best common ancestor has no information are left out, and so are
+    pairs that meet only in one of ``skip`` (see :func:`trunk`): through a root, every term would meet every other.
     """
+    if skip:
+        closed_terms = closed_terms.where(~F.col("anc").isin(skip))
     ic = stats.select("term", "ic")
     left = queries.select("term").distinct().join(closed_terms, "term").select(F.col("term").alias("q"), "anc", F.col("dist").alias("dq"))
     right = targets.select("term").distinct().join(closed_terms, "term").select(F.col("term").alias("t"), "anc", F.col("dist").alias("dt"))

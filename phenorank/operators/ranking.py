@@ -1,16 +1,30 @@
 """Profiles ranked against the observations of many cases at once.
 
-Only pairs of an observation and a profile that share a term ancestor are ever built. What an observation without a
-match adds to a profile's score is the same for all profiles, so it is summed once per case and corrected for the
-observations that do match; a profile that matches no observation has just that sum.
+A match depends on a term and a profile, not on a case, so it is worked out once per term and profile. Terms that meet
+only at the root of the branch match with the root's information, which takes no pair of terms: one number per term and
+one per profile say what such a match is worth. Cases are scored in blocks of cases and profiles, as a product of
+sparse matrices, and only the best of a block leave it: pairs are neither joined nor shuffled.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenorank.functions.scalars import EPSILON, clip
+from phenorank.session import written
+
+# How coverages, score and compatibility are weighed.
+IC_BONUS, EXACT_BONUS, ANCESTOR_BONUS, CONFLICT_COST = 0.50, 0.25, 0.10, 0.75
+IC_PART, EXACT_PART, ANCESTOR_PART, CONFLICT_PART = 0.45, 0.30, 0.25, 0.50
+SEMANTIC_SHARE = 0.25
+#: Profiles and cases that one task scores.
+BLOCK_PROFILES, BLOCK_CASES = 4096, 1024
 
 
 def _priority(relation: str) -> F.Column:
@@ -39,15 +53,36 @@ def best_matches(queries: DataFrame, similarity: DataFrame, terms: DataFrame, ne
     return hits.groupBy("q", "profile_id").agg(F.max(m).alias("m"))
 
 
-def evidence(observations: DataFrame, similarity: DataFrame, positive: DataFrame, negative: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per observation and profile with a match: relation, matched term, probability, LLR, contribution.
+def known_matches(queries: DataFrame, similarity: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """``(term, profile_id, p, n)``: the best positive and negative match of each term and profile that have one."""
+    pos = best_matches(queries, similarity, positive).withColumnRenamed("m", "p")
+    neg = best_matches(queries, similarity, negative, negative=True).withColumnRenamed("m", "n")
+    return pos.join(neg, ["q", "profile_id"], "full").withColumnRenamed("q", "term")
 
-    ``observations(case_id, ord, term, status, w)``; ``stats(term, background, ic)``. A negative match at least as good
-    as the positive one means the profile says the term is absent (relation ``profile_absent_*``).
+
+def root_matches(closed_terms: DataFrame, positive: DataFrame, profiles: DataFrame, root: str, ic: float) -> tuple[DataFrame, DataFrame]:
+    """``(by_term(term, dq), by_profile(profile_id, freq, t, dt))``: what a match through the root ``root`` rests on.
+
+    Every one of ``profiles(profile_id)`` has a row; ``freq`` is null where none of its terms is below the root, or
+    where the root tells nothing. All matches of a term through the root are equally strong, so that the most frequent
+    of a profile's terms, then the nearest, then the larger id is matched, whatever the term.
     """
-    pos = best_matches(observations, similarity, positive).withColumnRenamed("m", "p")
-    neg = best_matches(observations, similarity, negative, negative=True).withColumnRenamed("m", "n")
-    rows = pos.join(neg, ["q", "profile_id"], "full").withColumnRenamed("q", "term").join(stats.select("term", "background", "ic"), "term")
+    below = closed_terms.where(F.col("anc") == root).select("term", F.col("dist").alias("d"))
+    below = below if ic > 1e-9 else below.where("false")
+    best = F.max(F.struct(F.greatest("freq", F.lit(0.01)).alias("value"), (-F.col("d")).alias("near"), "term", "freq")).alias("b")
+    by_profile = positive.join(below, "term").groupBy("profile_id").agg(best)
+    every = profiles.select("profile_id").distinct().join(by_profile, "profile_id", "left")
+    return below.withColumnRenamed("d", "dq"), every.select("profile_id", F.col("b.freq").alias("freq"), F.col("b.term").alias("t"), (-F.col("b.near")).alias("dt"))
+
+
+def _judged(rows: DataFrame, ic_root: float) -> DataFrame:
+    """``rows`` (term and profile with p, n, dq, freq, t, dt, background, ic) with relation, probability and what follows."""
+    strength_root = F.least(F.lit(1.0), F.lit(ic_root) / F.greatest("ic", F.lit(1e-9)))
+    through = F.struct(
+        F.lit(1).alias("prio"), (strength_root * F.greatest("freq", F.lit(0.01))).alias("value"), (-(F.col("dq") + F.col("dt"))).alias("near"), F.col("t").alias("term"),
+        F.lit("semantic").alias("relation"), strength_root.alias("sim"), strength_root.alias("strength"), F.col("freq").alias("freq"),
+    )
+    rows = rows.withColumn("p", F.coalesce("p", F.when(F.col("dq").isNotNull() & F.col("freq").isNotNull(), through)))
     absent = F.col("n").isNotNull() & (F.col("p").isNull() | (F.col("n.prio") >= F.col("p.prio")))
     p, strength = F.col("p.freq"), F.col("p.strength")
     probability = (
@@ -55,27 +90,32 @@ def evidence(observations: DataFrame, similarity: DataFrame, positive: DataFrame
         .when(F.col("p.prio") == 4, p)
         .when(F.col("p.relation") == "profile_descendant", p)
         .when(F.col("p.relation") == "profile_ancestor", EPSILON + (p - EPSILON) * strength)
-        .otherwise(EPSILON + (p - EPSILON) * 0.25 * strength)
+        .otherwise(EPSILON + (p - EPSILON) * SEMANTIC_SHARE * strength)
     )
-    chosen = F.when(absent, F.col("n")).otherwise(F.col("p"))
-    rows = rows.withColumn("absent", absent).withColumn("probability", clip(probability, EPSILON, 1 - EPSILON)).withColumn("c", chosen)
-    # per term and profile, before the cases come in
-    known = rows.select(
-        "term",
-        "profile_id",
-        "background",
-        "ic",
-        F.when(F.col("absent"), F.concat(F.lit("profile_absent_"), F.col("c.relation"))).otherwise(F.col("c.relation")).alias("relation"),
-        F.col("c.term").alias("matched_term"),
-        (-F.col("c.near")).cast("int").alias("distance"),
-        F.when(F.col("absent"), F.lit(0.0)).otherwise(F.col("p.sim")).alias("sim"),
-        "absent",
-        F.col("p").isNotNull().alias("positive"),
-        "probability",
-        (F.log("probability") - F.log("background")).alias("__found"),
-        (F.log1p(-F.col("probability")) - F.log1p(-F.col("background"))).alias("__absent"),
+    rows = rows.withColumn("absent", absent).withColumn("probability", clip(probability, EPSILON, 1 - EPSILON)).withColumn("c", F.when(absent, F.col("n")).otherwise(F.col("p")))
+    return rows.withColumns(
+        {
+            "relation": F.when(F.col("absent"), F.concat(F.lit("profile_absent_"), F.col("c.relation"))).otherwise(F.coalesce("c.relation", F.lit("no_match"))),
+            "matched_term": F.col("c.term"),
+            "distance": (-F.col("c.near")).cast("int"),
+            "sim": F.when(F.col("absent"), F.lit(0.0)).otherwise(F.coalesce("p.sim", F.lit(0.0))),
+            "positive": F.col("p").isNotNull(),
+            "found_llr": F.log("probability") - F.log("background"),
+            "absent_llr": F.log1p(-F.col("probability")) - F.log1p(-F.col("background")),
+        }
     )
-    out = observations.join(known, "term").withColumn("llr", F.when(F.col("status") == "ABSENT", F.col("__absent")).otherwise(F.col("__found")))
+
+
+def evidence(pairs: DataFrame, observations: DataFrame, known: DataFrame, by_term: DataFrame, by_profile: DataFrame, stats: DataFrame, ic_root: float) -> DataFrame:
+    """One row per observation and profile of ``pairs(case_id, profile_id)``: relation, matched term, probability, LLR, contribution.
+
+    ``observations(case_id, ord, term, status, w)``; ``stats(term, background, ic)``. A negative match at least as good
+    as the positive one means the profile says the term is absent (relation ``profile_absent_*``); an observation that
+    nothing of the profile meets has relation ``no_match``.
+    """
+    rows = observations.join(pairs.select("case_id", "profile_id").distinct(), "case_id").join(known, ["term", "profile_id"], "left")
+    rows = rows.join(by_term, "term", "left").join(by_profile, "profile_id", "left").join(stats.select("term", "background", "ic"), "term")
+    out = _judged(rows, ic_root).withColumn("llr", F.when(F.col("status") == "ABSENT", F.col("absent_llr")).otherwise(F.col("found_llr")))
     return out.select(
         "case_id", "ord", "profile_id", "term", "status", "w", "background", "ic", "relation", "matched_term", "distance", "sim", "absent", "positive", "probability", "llr", (F.col("w") * F.col("llr")).alias("contribution")
     )
@@ -98,21 +138,8 @@ def _per_case(observations: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def unmatched(observations: DataFrame, stats: DataFrame, scored: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The columns of ``scored`` for the pairs of a case and one of ``profiles(profile_id)`` that it lacks: the case's default score.
-
-    The profiles' ids travel as one array, so the pairs that have a match are never joined.
-    """
-    everyone = profiles.agg(F.collect_set("profile_id").alias("__all"))
-    met = scored.groupBy("case_id").agg(F.collect_set("profile_id").alias("__met"))
-    case = _per_case(observations, stats).select("case_id", "base").join(met, "case_id", "left").crossJoin(F.broadcast(everyone))
-    rest = case.select("case_id", "base", F.explode(F.array_except("__all", F.coalesce("__met", F.array().cast("array<string>")))).alias("profile_id"))
-    none = {c: F.lit(0.0).alias(c) for c in scored.columns} | {"case_id": F.col("case_id"), "profile_id": F.col("profile_id"), "matches": F.lit(0).cast("bigint").alias("matches")}
-    return rest.select(*[(none | {c: F.col("base").alias(c) for c in ("log_likelihood", "score")})[c] for c in scored.columns])
-
-
 def scores(observations: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """``(case_id, profile_id, exact, ancestor, ic_coverage, conflict, log_likelihood, score, compatibility)`` of matching pairs; see ``unmatched``."""
+    """``(case_id, profile_id, exact, ancestor, ic_coverage, conflict, log_likelihood, score, compatibility)`` of the pairs in ``rows`` (see ``evidence``)."""
     case = _per_case(observations, stats)
     nothing = _nothing()
     found = F.col("status").isin("PRESENT", "SUSPECTED")
@@ -138,11 +165,205 @@ def scores(observations: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFr
         (F.col("base") + F.col("delta")).alias("log_likelihood"),
         "matches",
     )
-    return out.withColumn("score", F.col("log_likelihood") + 0.50 * F.col("ic_coverage") + 0.25 * F.col("exact") + 0.10 * F.col("ancestor") - 0.75 * F.col("conflict")).withColumn(
-        "compatibility", clip(0.45 * F.col("ic_coverage") + 0.30 * F.col("exact") + 0.25 * F.col("ancestor") - 0.50 * F.col("conflict"), 0.0, 1.0)
+    return with_score(out)
+
+
+def with_score(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``score`` and ``compatibility``."""
+    ic, exact, ancestor, conflict = (F.col(c) for c in ("ic_coverage", "exact", "ancestor", "conflict"))
+    return parts.withColumn("score", F.col("log_likelihood") + IC_BONUS * ic + EXACT_BONUS * exact + ANCESTOR_BONUS * ancestor - CONFLICT_COST * conflict).withColumn(
+        "compatibility", clip(IC_PART * ic + EXACT_PART * exact + ANCESTOR_PART * ancestor - CONFLICT_PART * conflict, 0.0, 1.0)
     )
 
 
+_TOP = "case_id string, profile_id string, concept_id string, exact double, ancestor double, ic_coverage double, conflict double, log_likelihood double, better bigint"
+
+
+class _Block:
+    """Profiles of one block with their matches, and the scores of a case against all of them."""
+
+    def __init__(self, rows: pd.DataFrame, ic_root: float):
+        profiles = rows[rows["term"].isna()].sort_values("profile_id", kind="stable")
+        self.ids = profiles["profile_id"].to_numpy()
+        self.concepts = profiles["concept_id"].to_numpy()
+        self.freq = profiles["freq"].to_numpy(np.float64)  # of a match through the root; nan where there is none
+        known = rows[rows["term"].notna()].sort_values("term", kind="stable")
+        at = pd.Index(self.ids).get_indexer(known["profile_id"])
+        values = known[["probability", "exact", "related", "sim", "positive"]].to_numpy(np.float64)
+        at, values, terms = at[at >= 0], values[at >= 0], known["term"].to_numpy()[at >= 0]
+        cuts = np.flatnonzero(terms[1:] != terms[:-1]) + 1 if len(terms) else []
+        self.known = {part[0]: (i, v) for part, i, v in zip(np.split(terms, cuts), np.split(at, cuts), np.split(values, cuts), strict=True) if len(part)}
+        self.ic_root = ic_root
+        self.vectors: dict[tuple[str, bool], np.ndarray] = {}
+
+    def vector(self, term: str, absent: bool, background: float, ic: float, below_root: bool) -> tuple:
+        """Per profile: LLR, then coverage by exact and by related terms and by information, or the conflict."""
+        got = self.vectors.get((term, absent))
+        if got is None:
+            if len(self.vectors) * len(self.ids) > 4_000_000:
+                self.vectors.clear()
+            through = ~np.isnan(self.freq) if below_root else np.zeros(len(self.ids), bool)
+            strength = min(1.0, self.ic_root / max(ic, 1e-9))
+            p = np.where(through, np.clip(EPSILON + (np.nan_to_num(self.freq) - EPSILON) * SEMANTIC_SHARE * strength, EPSILON, 1 - EPSILON), EPSILON)
+            index, values = self.known.get(term, (np.empty(0, np.int64), np.empty((0, 5))))
+            p[index] = values[:, 0]
+            llr = np.log1p(-p) - np.log1p(-background) if absent else np.log(p) - np.log(background)
+            if absent:
+                positive = through.astype(np.float64)
+                positive[index] = values[:, 4]
+                got = llr, ic * p * positive
+            else:
+                sim = np.where(through, strength, 0.0)
+                sim[index] = values[:, 3]
+                got = llr, index, values[:, 1], values[:, 2], ic * sim
+            self.vectors[term, absent] = got
+        return got
+
+    def scored(self, case: list[tuple]) -> dict[str, np.ndarray]:
+        n = len(self.ids)
+        out = {name: np.zeros(n) for name in ("exact", "ancestor", "ic", "conflict", "ll")}
+        w_all = ic_all = absent_all = 0.0
+        for term, w, status, background, ic, below in case:
+            if status == "NOT_ASSESSED":
+                continue
+            if status == "ABSENT":
+                llr, clash = self.vector(term, True, background, ic, below)
+                out["conflict"] += clash
+                absent_all += ic
+            else:
+                llr, index, exact, related, hit = self.vector(term, False, background, ic, below)
+                out["exact"][index] += w * exact
+                out["ancestor"][index] += w * related
+                out["ic"] += w * hit
+                w_all += w
+                ic_all += w * ic
+            out["ll"] += w * llr
+        out["exact"] = out["exact"] / w_all if w_all > 1e-9 else np.zeros(n)
+        out["ancestor"] = out["ancestor"] / w_all if w_all > 1e-9 else np.zeros(n)
+        out["ic"] = out["ic"] / ic_all if ic_all > 1e-9 else out["ancestor"]
+        out["conflict"] = out["conflict"] / absent_all if absent_all > 1e-9 else np.zeros(n)
+        out["score"] = out["ll"] + IC_BONUS * out["ic"] + EXACT_BONUS * out["exact"] + ANCESTOR_BONUS * out["ancestor"] - CONFLICT_COST * out["conflict"]
+        return out
+
+
+_KEYS = {"IC_COVERAGE": ("ic", "exact", "score"), "LIKELIHOOD_SCORE": ("score",)}
+
+
+def _best(keys: list[np.ndarray], k: int, concepts: np.ndarray | None) -> np.ndarray:
+    """The places of the first ``k`` by falling keys and then by falling place; the first of each concept only."""
+    n = len(keys[0])
+    take = k
+    while True:
+        take = min(n, take)
+        least = np.partition(keys[0], n - take)[n - take] if take else np.inf
+        near = np.flatnonzero(keys[0] >= least)
+        order = near[np.lexsort([near, *[key[near] for key in reversed(keys)]])[::-1]]
+        if concepts is None:
+            return order[:k]
+        order = order[np.sort(np.unique(concepts[order], return_index=True)[1])]
+        if len(order) >= k or take >= n:
+            return order[:k]
+        take *= 4
+
+
+def top_profiles(
+    observations: DataFrame, known: DataFrame, by_term: DataFrame, by_profile: DataFrame, stats: DataFrame, ic_root: float,
+    strategy: str = "IC_COVERAGE", top_k: int = 10, concepts: DataFrame | None = None, wanted: DataFrame | None = None,
+) -> DataFrame:
+    """The first ``top_k`` profiles of each case among all of ``by_profile``, with their coverages, score and ``rank``.
+
+    IC_COVERAGE orders by coverage, exact coverage, score and id, LIKELIHOOD_SCORE by score and id, all descending;
+    numbers are compared at ten decimals, so that ties don't hang on the order of a sum. With ``concepts(profile_id,
+    concept_id)`` only the best profile of a concept is ranked (profiles outside stand alone). With ``wanted(case_id,
+    profile_id)`` those pairs are returned instead, ``rank`` being their place among all profiles.
+
+    Cases and profiles are cut into blocks of at most some ``BLOCK_CASES`` and ``BLOCK_PROFILES``; every pair of blocks
+    is one task's work. Matches are sent once per block of cases, observations once per block of profiles, and a task
+    returns ``top_k`` rows a case, so what is shuffled grows with observations and matches, not with their product.
+    """
+    if top_k < 0:
+        raise ValueError("top_k must not be negative")
+    keys = _KEYS[strategy]
+    pbs = max(1, math.ceil(by_profile.count() / BLOCK_PROFILES))
+    cbs = max(1, math.ceil(observations.select("case_id").distinct().count() / BLOCK_CASES))
+    named = by_profile.join(concepts.select("profile_id", "concept_id"), "profile_id", "left") if concepts is not None else by_profile.withColumn("concept_id", F.col("profile_id"))
+    named = named.select("profile_id", "freq", F.coalesce("concept_id", "profile_id").alias("concept_id")).withColumn("pb", F.pmod(F.xxhash64("concept_id"), F.lit(pbs)))
+    to_cases = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cbs - 1).cast("bigint"))).alias("cb")
+    to_profiles = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pbs - 1).cast("bigint"))).alias("pb")
+    block = F.pmod(F.xxhash64("case_id"), F.lit(cbs)).alias("cb")
+    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    features = _judged(known.join(by_term, "term", "left").join(by_profile, "profile_id").join(stats.select("term", "background", "ic"), "term"), ic_root)
+    said = (~F.col("absent")).cast("double")
+    features = features.join(named.select("profile_id", "pb"), "profile_id").select(
+        "pb", "profile_id", "term", number.alias("freq"), text.alias("concept_id"), "probability", (said * (F.col("relation") == "exact").cast("double")).alias("exact"),
+        (said * F.col("relation").isin("exact", "profile_ancestor", "profile_descendant").cast("double")).alias("related"), "sim", F.col("positive").cast("double").alias("positive"),
+    )
+    left = features.unionByName(named.select("pb", "profile_id", text.alias("term"), "freq", "concept_id", *[number.alias(c) for c in ("probability", "exact", "related", "sim", "positive")])).select("*", to_cases)
+    cases = observations.join(stats.select("term", "background", "ic"), "term").join(by_term, "term", "left")
+    right = cases.select("case_id", text.alias("profile_id"), "ord", "term", "w", "status", "background", "ic", F.col("dq").isNotNull().alias("below"), *[number.alias(c) for c in ("k0", "k1", "k2")], block, to_profiles)
+    if wanted is not None:
+        asked = [F.col(c) if c in wanted.columns else number.alias(c) for c in ("k0", "k1", "k2")]
+        right = right.unionByName(wanted.select("case_id", "profile_id", F.lit(None).cast("int").alias("ord"), *[text.alias(c) for c in ("term", "status")], *[number.alias(c) for c in ("w", "background", "ic")], F.lit(None).cast("boolean").alias("below"), *asked, block, to_profiles))
+    by_concept, asking = concepts is not None, wanted is not None
+    counting = asking and "k0" in wanted.columns
+
+    def score(key: tuple, profiles: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if not len(profiles) or not len(rows):
+            return pd.DataFrame(found, columns=_TOP_NAMES)
+        data = _Block(profiles, ic_root)
+        for case_id, part in rows.sort_values(["case_id", "ord"], kind="stable").groupby("case_id", sort=False):
+            seen = part[part["term"].notna()]
+            if not len(seen):
+                continue  # asked for, but unknown
+            out = data.scored(list(zip(seen["term"], seen["w"], seen["status"], seen["background"], seen["ic"], seen["below"], strict=True)))
+            ranked = [np.round(out[k], 10) + 0.0 for k in keys]
+            if not asking:
+                for i in _best(ranked, top_k, data.concepts if by_concept else None):
+                    found.append((case_id, data.ids[i], data.concepts[i], *[out[c][i] for c in ("exact", "ancestor", "ic", "conflict", "ll")], 0))
+                continue
+            asked = part[part["term"].isna()]
+            for profile, *values in zip(asked["profile_id"], asked["k0"], asked["k1"], asked["k2"], strict=True):
+                i = int(np.searchsorted(data.ids, profile))
+                here = i < len(data.ids) and data.ids[i] == profile
+                if counting:
+                    better, even = np.zeros(len(data.ids), bool), np.ones(len(data.ids), bool)
+                    for have, want in zip(ranked, np.round(values, 10) + 0.0, strict=False):
+                        better |= even & (have > want)
+                        even &= have == want
+                    found.append((case_id, profile, None, *[None] * 5, int(better.sum() + (even & (np.arange(len(data.ids)) >= i + here)).sum())))
+                elif here:
+                    found.append((case_id, profile, data.concepts[i], *[out[c][i] for c in ("exact", "ancestor", "ic", "conflict", "ll")], 0))
+        return pd.DataFrame(found, columns=_TOP_NAMES)
+
+    best = left.groupBy("pb", "cb").cogroup(right.groupBy("pb", "cb")).applyInPandas(score, _TOP)
+    if counting:
+        return best.groupBy("case_id", "profile_id").agg((F.sum("better") + 1).alias("rank"))
+    scored = with_score(best.drop("better"))
+    if asking:
+        return scored
+    order = {"ic": "ic_coverage", "exact": "exact", "score": "score"}
+    w = Window.partitionBy("case_id").orderBy(*[F.round(order[k], 10).desc() for k in keys], F.col("profile_id").desc())
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+
+
+_TOP_NAMES = [c.split(" ")[0] for c in _TOP.split(", ")]
+
+
+def places(wanted: DataFrame, *parts, strategy: str = "IC_COVERAGE", **options) -> DataFrame:
+    """``(case_id, profile_id, rank)``: the place of each of ``wanted(case_id, profile_id)`` among all profiles of its case.
+
+    Takes the arguments of :func:`top_profiles`. Scored twice: first the wanted pairs, then how many are before them.
+    Pairs of an unknown case or profile have no row.
+    """
+    order = {"ic": "ic_coverage", "exact": "exact", "score": "score"}
+    scored, _ = written(top_profiles(*parts, strategy=strategy, wanted=wanted.select("case_id", "profile_id").distinct(), **options), "wanted")
+    keys = [F.col(order[k]).alias(f"k{i}") for i, k in enumerate(_KEYS[strategy])]
+    return top_profiles(*parts, strategy=strategy, wanted=scored.select("case_id", "profile_id", *keys), **options)
+
+
+
+
 def ranked(scored: DataFrame, strategy: str = "IC_COVERAGE", top_k: int | None = 10, subset: DataFrame | None = None) -> DataFrame:
     """``scored`` with ``rank``, the first ``top_k`` of each case (all for None, none for 0).
 
@@ -157,13 +378,3 @@ def ranked(scored: DataFrame, strategy: str = "IC_COVERAGE", top_k: int | None =
     w = Window.partitionBy("case_id").orderBy(*[F.round(k, 10).desc() for k in keys], F.col("profile_id").desc())
     out = rows.withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= top_k) if top_k is not None else out
-
-
-def concept_merged(scored: DataFrame, concepts: DataFrame, strategy: str = "IC_COVERAGE", top_k: int | None = 10) -> DataFrame:
-    """Ranked with one winner per concept and its sorted ``members``; profiles outside ``concepts(profile_id, concept_id)`` stand alone."""
-    named = scored.join(concepts, "profile_id", "left").withColumn("concept_id", F.coalesce("concept_id", "profile_id"))
-    order = ["ic_coverage", "exact", "score"] if strategy == "IC_COVERAGE" else ["score"]
-    w = Window.partitionBy("case_id", "concept_id").orderBy(*[F.round(k, 10).desc() for k in order], F.col("profile_id").desc())
-    members = named.groupBy("case_id", "concept_id").agg(F.array_join(F.array_sort(F.collect_set("profile_id")), ",").alias("members"))
-    best = named.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").join(members, ["case_id", "concept_id"])
-    return ranked(best, strategy, top_k)

@@ -9,18 +9,30 @@ from pyspark.sql import functions as F
 from phenorank.session import discard, written
 
 
-def sampled_negatives(candidates: DataFrame, gold: DataFrame, most: int = 100, seed: int = 17) -> DataFrame:
-    """``(case_id, profile_id, label, weight)``: a case's gold profiles and the ``most`` other candidates first by hash.
+def sampled_negatives(profiles: DataFrame, gold: DataFrame, most: int = 100, seed: int = 17) -> DataFrame:
+    """``(case_id, profile_id, label, weight)``: a case's gold profiles and up to ``most`` others, drawn by hash.
 
-    Each negative weighs as many as it stands for.
+    Profiles are numbered in the order of their hashes. A case draws numbers, ``4 * most`` times, from the hash of seed,
+    case and draw; what it draws first counts, repeats and gold profiles don't. Each negative weighs as many profiles
+    as it stands for. No pair of case and profile is made but those drawn; cases are those with a gold profile.
     """
-    g = gold.select("case_id", "profile_id").distinct().withColumn("label", F.lit(1)).withColumn("weight", F.lit(1.0))
-    rest = candidates.select("case_id", "profile_id").distinct().join(g, ["case_id", "profile_id"], "left_anti")
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), "case_id", "profile_id"), 256)
+    g = gold.select("case_id", "profile_id").distinct()
+    first = F.substring(F.sha2("profile_id", 256), 1, 2)  # 256 buckets, each numbered by itself
+    numbered = profiles.select("profile_id").distinct().withColumn("__b", first).withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy("profile_id")))
+    per = numbered.groupBy("__b").agg(F.count("*").alias("n"))
+    before = per.select("__b", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    numbered = numbered.join(F.broadcast(before), "__b").select("profile_id", (F.col("__before") + F.col("__n") - 1).alias("at"))
+    total = profiles.select("profile_id").distinct().count()
+    if not total:
+        return g.select("case_id", "profile_id", F.lit(1).alias("label"), F.lit(1.0).alias("weight"))
+    draws = g.select("case_id").distinct().select("case_id", F.explode(F.sequence(F.lit(0), F.lit(4 * most - 1))).alias("draw"))
+    drawn = draws.withColumn("at", F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), "case_id", F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("bigint") % total)
+    drawn = drawn.groupBy("case_id", "at").agg(F.min("draw").alias("draw")).join(numbered, "at").join(g, ["case_id", "profile_id"], "left_anti")
     w = Window.partitionBy("case_id")
-    n = rest.withColumn("__n", F.row_number().over(w.orderBy(order, "profile_id"))).join(rest.groupBy("case_id").agg(F.count("*").alias("__all")), "case_id").where(F.col("__n") <= most)
-    negatives = n.select("case_id", "profile_id", F.lit(0).alias("label"), (F.col("__all") / F.least(F.col("__all"), F.lit(most))).alias("weight"))
-    return g.unionByName(negatives)
+    kept = drawn.withColumn("__n", F.row_number().over(w.orderBy("draw"))).where(F.col("__n") <= most).withColumn("__k", F.count("*").over(w))
+    others = g.join(numbered, "profile_id", "left_semi").groupBy("case_id").agg(F.count("*").alias("__known"))
+    negatives = kept.join(others, "case_id", "left").select("case_id", "profile_id", F.lit(0).alias("label"), ((F.lit(total) - F.coalesce("__known", F.lit(0))) / F.col("__k")).alias("weight"))
+    return g.select("case_id", "profile_id", F.lit(1).alias("label"), F.lit(1.0).alias("weight")).unionByName(negatives)
 
 
 def crossing(cases: DataFrame, column: str, split: str = "split") -> DataFrame:

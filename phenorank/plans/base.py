@@ -29,7 +29,11 @@ def forget() -> None:
     _kept.clear()
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Fixed value: the root of the phenotype branch. It is accepted in observations and profiles, and never scored.
+ROOT = "HP:0000118"
+
+
+def _inner_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term links of the extension modules, and each catalogue entry under the place its English name ends with."""
 
     def make() -> DataFrame:
@@ -37,16 +41,27 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         cat = table(spark, sf_dir, "hpo_catalog_vi").where("id is not null").select(F.upper(F.trim("id")).alias("child"), F.regexp_extract(F.lower("en"), r" of the ([a-z ]+)$", 1).alias("place"))
         return own.unionByName(cat.where("place <> ''").select("child", F.concat(F.lit("PLACE:"), "place").alias("parent"))).distinct()
 
-    return kept(spark, sf_dir, "all_links", make)
+    return kept(spark, sf_dir, "inner_links", make)
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _below_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         live = hierarchy.resolved_links(table(spark, sf_dir, "hpo_term"))[0]
         cat = table(spark, sf_dir, "hpo_catalog_vi").where("id is not null").select(F.upper(F.trim("id")).alias("hpo_id"))
-        return live.unionByName(cat).unionByName(links(spark, sf_dir).select(F.col("parent").alias("hpo_id"))).distinct()
+        return live.unionByName(cat).unionByName(_inner_links(spark, sf_dir).select(F.col("parent").alias("hpo_id"))).where(F.col("hpo_id") != ROOT).distinct()
+
+    return kept(spark, sf_dir, "below_root", make)
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links: modules, places and entries without a parent hang under the one root."""
+    inner = _inner_links(spark, sf_dir)
+    tops = _below_root(spark, sf_dir).join(inner.select(F.col("child").alias("hpo_id")).distinct(), "hpo_id", "left_anti")
+    return inner.unionByName(tops.select(F.col("hpo_id").alias("child"), F.lit(ROOT).alias("parent")))
 
-    return kept(spark, sf_dir, "nodes", make)
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _below_root(spark, sf_dir).unionByName(spark.createDataFrame([(ROOT,)], "hpo_id string"))
 
 
 def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,22 +73,21 @@ def profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "positive", lambda: annotations.positive_terms(profile_rows(spark, sf_dir)))
+    return kept(spark, sf_dir, "positive", lambda: annotations.positive_terms(profile_rows(spark, sf_dir), ROOT))
 
 
 def negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "negative", lambda: annotations.negative_terms(profile_rows(spark, sf_dir)))
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> int:
-    return profile_rows(spark, sf_dir).select("profile_id").distinct().count()
+def profile_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "profile_ids", lambda: profile_rows(spark, sf_dir).select("profile_id").distinct())
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
-        c = closed(spark, sf_dir)
-        df = ontology.document_frequency(positive(spark, sf_dir), c)
-        return ontology.information_content(nodes(spark, sf_dir).withColumnRenamed("hpo_id", "term"), df, profiles(spark, sf_dir))
+        df = ontology.document_frequency(positive(spark, sf_dir), closed(spark, sf_dir))
+        return ontology.information_content(nodes(spark, sf_dir).withColumnRenamed("hpo_id", "term"), df, profile_ids(spark, sf_dir).count(), ROOT)
 
     return kept(spark, sf_dir, "stats", make)
 
@@ -83,26 +97,40 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "observations", lambda: observations.sanitized(raw_observations(spark, sf_dir), closed(spark, sf_dir)))
+    return kept(spark, sf_dir, "observations", lambda: observations.sanitized(raw_observations(spark, sf_dir), closed(spark, sf_dir), ROOT))
 
 
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         q = case_observations(spark, sf_dir).select("term").distinct()
         t = positive(spark, sf_dir).select("term").unionByName(negative(spark, sf_dir).select("term")).distinct()
-        return ontology.term_similarity(q, t, closed(spark, sf_dir), stats(spark, sf_dir))
+        c, st = closed(spark, sf_dir), stats(spark, sf_dir)
+        return ontology.term_similarity(q, t, c, st, ontology.trunk(c, st, ROOT)[0])
 
     return kept(spark, sf_dir, "similarity", make)
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.evidence(case_observations(spark, sf_dir), similarity(spark, sf_dir), positive(spark, sf_dir), negative(spark, sf_dir), stats(spark, sf_dir))
+def engine(spark: SparkSession, sf_dir: str) -> tuple:
+    """What :func:`ranking.top_profiles` takes: observations, matches, matches through the root by term and profile, statistics, the root's information."""
+    obs, st = case_observations(spark, sf_dir), stats(spark, sf_dir)
+    known = kept(spark, sf_dir, "known", lambda: ranking.known_matches(obs, similarity(spark, sf_dir), positive(spark, sf_dir), negative(spark, sf_dir)))
+    _, root, ic = ontology.trunk(closed(spark, sf_dir), st, ROOT)
+    by_term, by_profile = ranking.root_matches(closed(spark, sf_dir), positive(spark, sf_dir), profile_ids(spark, sf_dir), root or ROOT, ic)
+    return obs, known, by_term, kept(spark, sf_dir, "by_profile", lambda: by_profile), st, ic
+
+
+def top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """The first profiles of each case by coverage."""
+    return kept(spark, sf_dir, "top_20", lambda: ranking.top_profiles(*engine(spark, sf_dir), top_k=20)).where(F.col("rank") <= k)
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every case with every profile; only the pairs with a match are written."""
-    matched = kept(spark, sf_dir, "scores", lambda: ranking.scores(case_observations(spark, sf_dir), evidence(spark, sf_dir), stats(spark, sf_dir)))
-    return matched.unionByName(ranking.unmatched(case_observations(spark, sf_dir), stats(spark, sf_dir), matched, profile_rows(spark, sf_dir)))
+def evidence(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """The evidence of ``pairs(case_id, profile_id)``, by default that of the ten first profiles of each case."""
+    return ranking.evidence(top(spark, sf_dir) if pairs is None else pairs, *engine(spark, sf_dir))
+
+
+def pair_scores(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    return ranking.scores(case_observations(spark, sf_dir), evidence(spark, sf_dir, pairs), stats(spark, sf_dir))
 
 
 ONTOLOGY = """
@@ -121,20 +149,27 @@ meant(child, parent) AS (
   UNION
   SELECT m.child, a.b FROM meant m JOIN alias a ON a.a = m.parent
 ),
-cat AS (SELECT DISTINCT upper(trim(id)) AS id, regexp_extract(lower(en), ' of the ([a-z ]+)$', 1) AS place, substr(lower(en), 1, 1) AS initial FROM hpo_catalog_vi),
-links AS (
+cat AS (SELECT DISTINCT upper(trim(id)) AS id, regexp_extract(lower(en), ' of the ([a-z ]+)$', 1) AS place FROM hpo_catalog_vi WHERE id IS NOT NULL),
+inner_links AS (
   SELECT DISTINCT child, parent FROM meant WHERE parent IN (SELECT id FROM live)
   UNION
-  SELECT id, 'GROUP:' || place || '/' || initial FROM cat WHERE place <> ''
+  SELECT id, 'PLACE:' || place FROM cat WHERE place <> ''
+),
+below_root AS (SELECT id AS hpo_id FROM live UNION SELECT id FROM cat UNION SELECT parent FROM inner_links),
+links AS (
+  SELECT child, parent FROM inner_links
+  UNION
+  SELECT hpo_id, 'HP:0000118' FROM below_root WHERE hpo_id NOT IN (SELECT child FROM inner_links)
 ),
-nodes AS (SELECT id AS hpo_id FROM live UNION SELECT id FROM cat UNION SELECT parent FROM links),
-reach(node, anc, dist) AS (
+nodes AS (SELECT hpo_id FROM below_root UNION SELECT 'HP:0000118'),
+reach(node, anc, dist) USING KEY (node, anc) AS (
   SELECT child, parent, 1 FROM links
   UNION
-  SELECT r.node, l.parent, r.dist + 1 FROM reach r JOIN links l ON l.child = r.anc WHERE r.dist < 60
+  SELECT r.node, l.parent, min(r.dist + 1) FROM reach r JOIN links l ON l.child = r.anc LEFT JOIN recurring.reach k ON k.node = r.node AND k.anc = l.parent
+  WHERE k.dist IS NULL OR k.dist > r.dist + 1 GROUP BY r.node, l.parent
 ),
 closed AS (
-  SELECT node AS term, anc, min(dist) AS dist FROM reach WHERE node <> anc GROUP BY node, anc
+  SELECT node AS term, anc, dist FROM reach WHERE node <> anc
   UNION ALL SELECT hpo_id, hpo_id, 0 FROM nodes
 )
 """
@@ -185,16 +220,16 @@ rows_ AS (
 annot AS (SELECT * FROM rows_ WHERE term IS NOT NULL),
 n_profiles AS (SELECT count(DISTINCT profile_id) AS n FROM annot),
 neg AS (SELECT DISTINCT profile_id, term FROM annot WHERE negated),
-pos AS (SELECT profile_id, term, max(probability) AS freq FROM annot GROUP BY profile_id, term HAVING NOT bool_or(negated))
+pos AS (SELECT profile_id, term, max(probability) AS freq FROM annot WHERE term <> 'HP:0000118' GROUP BY profile_id, term HAVING NOT bool_or(negated))
 """
 )
 
 STATS = """,
 df AS (SELECT c.anc AS term, count(DISTINCT p.profile_id) AS df FROM pos p JOIN closed c ON c.term = p.term GROUP BY c.anc),
 stats AS (
-  SELECT hpo_id AS term, coalesce(df, 0) AS df, least(greatest((coalesce(df, 0) + 0.5) / (n + 1.0), 0.0001), 0.9999)::DOUBLE AS background,
-    -ln(least(greatest((coalesce(df, 0) + 0.5) / (n + 1.0), 0.0001), 0.9999)::DOUBLE) AS ic
-  FROM nodes LEFT JOIN df ON df.term = hpo_id CROSS JOIN n_profiles
+  SELECT term, df, background, -ln(background) AS ic FROM (
+    SELECT hpo_id AS term, coalesce(df, 0) AS df, CASE WHEN hpo_id = 'HP:0000118' THEN 0.9999 ELSE least(greatest((coalesce(df, 0) + 0.5) / (n + 1.0), 0.0001), 0.9999) END::DOUBLE AS background
+    FROM nodes LEFT JOIN df ON df.term = hpo_id CROSS JOIN n_profiles)
 )
 """
 
@@ -216,7 +251,7 @@ merged AS (
     arg_max(status, CASE status WHEN 'PRESENT' THEN 3 WHEN 'SUSPECTED' THEN 2 WHEN 'ABSENT' THEN 2 ELSE 1 END * 100000 - ord) AS status,
     bool_or(status IN ('PRESENT', 'SUSPECTED')) AND bool_or(status = 'ABSENT') AS conflict,
     max(extraction_confidence) AS extraction_confidence, max(linking_confidence) AS linking_confidence, max(reviewer_status) AS reviewer_status, count(*) AS mention_count
-  FROM obs WHERE term IN (SELECT hpo_id FROM nodes) AND status IS NOT NULL GROUP BY case_id, term
+  FROM obs WHERE term IN (SELECT hpo_id FROM nodes) AND term <> 'HP:0000118' AND status IS NOT NULL GROUP BY case_id, term
 ),
 clash AS (
   SELECT DISTINCT a.case_id, a.term AS absent_term, f.term AS present_term FROM merged a JOIN merged f ON a.case_id = f.case_id AND a.status = 'ABSENT' AND f.status IN ('PRESENT', 'SUSPECTED')
@@ -243,12 +278,12 @@ clean AS (
 )
 
 SIMILARITY = """,
-targets AS (SELECT DISTINCT term FROM annot WHERE term IN (SELECT hpo_id FROM nodes)),
+targets AS (SELECT term FROM pos UNION SELECT term FROM neg),
 sources AS (SELECT DISTINCT term FROM clean),
 best_anc AS (
   SELECT q, t, max(struct_pack(ic := ic, anc := anc, d := d)) AS m FROM (
     SELECT a.term AS q, b.term AS t, a.anc AS anc, s.ic AS ic, struct_pack(dq := a.dist, dt := b.dist) AS d
-    FROM closed a JOIN sources ON sources.term = a.term JOIN closed b ON b.anc = a.anc JOIN targets ON targets.term = b.term JOIN stats s ON s.term = a.anc)
+    FROM closed a JOIN sources ON sources.term = a.term JOIN closed b ON b.anc = a.anc AND a.anc <> 'HP:0000118' JOIN targets ON targets.term = b.term JOIN stats s ON s.term = a.anc)
   GROUP BY q, t
 ),
 sims AS (
@@ -269,70 +304,101 @@ similarity AS (
 )
 """
 
-EVIDENCE = """,
+KNOWN = """,
 hits AS (
-  SELECT o.case_id, o.ord, p.profile_id, s.relation, s.t, s.dist, s.sim, s.strength, p.freq, false AS negative,
+  SELECT s.q, p.profile_id, s.relation, s.t, s.dist, s.sim, s.strength, p.freq, false AS negative,
     CASE s.relation WHEN 'exact' THEN 4 WHEN 'semantic' THEN 1 ELSE 3 END AS prio, s.strength * greatest(p.freq, 0.01) AS value
-  FROM clean o JOIN similarity s ON s.q = o.term JOIN pos p ON p.term = s.t
+  FROM similarity s JOIN pos p ON p.term = s.t
   UNION ALL
-  SELECT o.case_id, o.ord, p.profile_id, s.relation, s.t, s.dist, s.sim, s.strength, 0, true, CASE s.relation WHEN 'exact' THEN 4 ELSE 3 END, s.strength * 0.01
-  FROM clean o JOIN similarity s ON s.q = o.term AND s.relation <> 'semantic' JOIN neg p ON p.term = s.t
+  SELECT s.q, p.profile_id, s.relation, s.t, s.dist, s.sim, s.strength, 0, true, CASE s.relation WHEN 'exact' THEN 4 ELSE 3 END, s.strength * 0.01
+  FROM similarity s JOIN neg p ON p.term = s.t WHERE s.relation <> 'semantic'
 ),
 picked AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, ord, profile_id, negative ORDER BY prio DESC, value DESC, dist, t DESC) AS n FROM hits) WHERE n = 1
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, profile_id, negative ORDER BY prio DESC, value DESC, dist, t DESC) AS n FROM hits) WHERE n = 1
+),
+root_ic AS (SELECT ic AS root_ic FROM stats WHERE term = 'HP:0000118'),
+by_term AS (SELECT term, dist AS dq FROM closed WHERE anc = 'HP:0000118'),
+by_profile AS (
+  SELECT profile_id, term AS r_t, freq AS r_freq, dq AS r_dt FROM (
+    SELECT p.profile_id, p.term, p.freq, b.dq, row_number() OVER (PARTITION BY p.profile_id ORDER BY greatest(p.freq, 0.01) DESC, b.dq, p.term DESC) AS n FROM pos p JOIN by_term b ON b.term = p.term)
+  WHERE n = 1
+),
+profile_ids AS (SELECT DISTINCT profile_id FROM annot)
+"""
+
+
+def evidence_sql(name: str, pairs: str) -> str:
+    """Common table expressions that end in the evidence ``name`` of the pairs in the table ``pairs``."""
+    return f""",
+{name}_met AS (
+  SELECT o.case_id, o.ord, w.profile_id, o.term, o.status, o.w, s.background, s.ic,
+    coalesce(p.relation, CASE WHEN r.r_freq IS NOT NULL AND b.dq IS NOT NULL THEN 'semantic' END) AS p_relation,
+    CASE WHEN p.relation IS NOT NULL THEN p.freq ELSE r.r_freq END AS p_freq, coalesce(p.strength, least(1, root_ic / greatest(s.ic, 1e-9))) AS p_strength,
+    coalesce(p.sim, least(1, root_ic / greatest(s.ic, 1e-9))) AS p_sim, coalesce(p.t, r.r_t) AS p_t, coalesce(p.dist, b.dq + r.r_dt) AS p_dist, coalesce(p.prio, 1) AS p_prio,
+    n.relation AS n_relation, n.t AS n_t, n.dist AS n_dist, n.prio AS n_prio
+  FROM {pairs} w JOIN clean o ON o.case_id = w.case_id JOIN stats s ON s.term = o.term CROSS JOIN root_ic
+    LEFT JOIN by_term b ON b.term = o.term LEFT JOIN by_profile r ON r.profile_id = w.profile_id
+    LEFT JOIN picked p ON NOT p.negative AND p.q = o.term AND p.profile_id = w.profile_id LEFT JOIN picked n ON n.negative AND n.q = o.term AND n.profile_id = w.profile_id
 ),
-paired AS (
-  SELECT coalesce(p.case_id, n.case_id) AS case_id, coalesce(p.ord, n.ord) AS ord, coalesce(p.profile_id, n.profile_id) AS profile_id,
-    p.relation AS p_relation, p.freq AS p_freq, p.strength AS p_strength, p.sim AS p_sim, p.t AS p_t, p.dist AS p_dist, p.prio AS p_prio,
-    n.relation AS n_relation, n.t AS n_t, n.dist AS n_dist, n.prio IS NOT NULL AND (p.prio IS NULL OR n.prio >= p.prio) AS absent
-  FROM (SELECT * FROM picked WHERE NOT negative) p FULL JOIN (SELECT * FROM picked WHERE negative) n ON p.case_id = n.case_id AND p.ord = n.ord AND p.profile_id = n.profile_id
+{name}_judged AS (
+  SELECT *, n_prio IS NOT NULL AND (p_relation IS NULL OR n_prio >= p_prio) AS absent FROM {name}_met
 ),
-judged AS (
-  SELECT e.*, o.term, o.status, o.w, s.background, s.ic,
+{name}_likely AS (
+  SELECT *,
     least(0.9999, greatest(0.0001, CASE WHEN absent OR p_relation IS NULL THEN 0.0001 WHEN p_relation IN ('exact', 'profile_descendant') THEN p_freq
       WHEN p_relation = 'profile_ancestor' THEN 0.0001 + (p_freq - 0.0001) * p_strength ELSE 0.0001 + (p_freq - 0.0001) * 0.25 * p_strength END))::DOUBLE AS probability
-  FROM paired e JOIN clean o ON o.case_id = e.case_id AND o.ord = e.ord JOIN stats s ON s.term = o.term
+  FROM {name}_judged
 ),
-evidence AS (
-  SELECT case_id, ord, profile_id, term, status, w, background, ic, CASE WHEN absent THEN 'profile_absent_' || n_relation ELSE p_relation END AS relation,
-    CASE WHEN absent THEN n_t ELSE p_t END AS matched_term, CASE WHEN absent THEN n_dist ELSE p_dist END AS distance, CASE WHEN absent THEN 0 ELSE p_sim END AS sim,
-    absent, p_relation IS NOT NULL AS positive, probability,
+{name} AS (
+  SELECT case_id, ord, profile_id, term, status, w, background, ic, CASE WHEN absent THEN 'profile_absent_' || n_relation ELSE coalesce(p_relation, 'no_match') END AS relation,
+    CASE WHEN absent THEN n_t WHEN p_relation IS NOT NULL THEN p_t END AS matched_term, CASE WHEN absent THEN n_dist WHEN p_relation IS NOT NULL THEN p_dist END AS distance,
+    CASE WHEN absent OR p_relation IS NULL THEN 0 ELSE p_sim END AS sim, absent, p_relation IS NOT NULL AS positive, probability,
     CASE WHEN status = 'ABSENT' THEN ln(1 - probability) - ln(1 - background) ELSE ln(probability) - ln(background) END AS llr
-  FROM judged
+  FROM {name}_likely
 )
 """
 
-SCORES = """,
-per_case AS (
-  SELECT o.case_id,
-    sum(CASE WHEN status <> 'NOT_ASSESSED' THEN w * (CASE WHEN status = 'ABSENT' THEN ln(1 - 0.0001) - ln(1 - background) ELSE ln(0.0001) - ln(background) END) ELSE 0 END) AS base,
-    sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') THEN w ELSE 0 END) AS w_all, sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') THEN w * ic ELSE 0 END) AS ic_all,
+
+def scores_sql(name: str, evidence: str) -> str:
+    """The scores ``name`` of the pairs in the table ``evidence``."""
+    return f""",
+{name}_case AS (
+  SELECT o.case_id, sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') THEN w ELSE 0 END) AS w_all, sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') THEN w * ic ELSE 0 END) AS ic_all,
     sum(CASE WHEN status = 'ABSENT' THEN ic ELSE 0 END) AS absent_all
   FROM clean o JOIN stats s ON s.term = o.term GROUP BY o.case_id
 ),
-per_pair AS (
-  SELECT case_id, profile_id,
-    sum(CASE WHEN status <> 'NOT_ASSESSED' THEN w * llr - w * (CASE WHEN status = 'ABSENT' THEN ln(1 - 0.0001) - ln(1 - background) ELSE ln(0.0001) - ln(background) END) ELSE 0 END) AS delta,
+{name}_pair AS (
+  SELECT case_id, profile_id, sum(CASE WHEN status <> 'NOT_ASSESSED' THEN w * llr ELSE 0 END) AS log_likelihood,
     sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') AND NOT absent AND relation = 'exact' THEN w ELSE 0 END) AS w_exact,
-    sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') AND NOT absent AND relation <> 'semantic' THEN w ELSE 0 END) AS w_anc,
+    sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') AND NOT absent AND relation NOT IN ('semantic', 'no_match') THEN w ELSE 0 END) AS w_anc,
     sum(CASE WHEN status IN ('PRESENT', 'SUSPECTED') AND NOT absent THEN w * ic * sim ELSE 0 END) AS ic_hit,
-    sum(CASE WHEN status = 'ABSENT' AND positive THEN ic * probability ELSE 0 END) AS clash_sum, count(*) AS matches
-  FROM evidence GROUP BY case_id, profile_id
+    sum(CASE WHEN status = 'ABSENT' AND positive THEN ic * probability ELSE 0 END) AS clash_sum
+  FROM {evidence} GROUP BY case_id, profile_id
 ),
-parts AS (
-  SELECT p.case_id, profile_id, matches, CASE WHEN w_all > 1e-9 THEN w_exact / w_all ELSE 0 END AS exact, CASE WHEN w_all > 1e-9 THEN w_anc / w_all ELSE 0 END AS ancestor,
+{name}_parts AS (
+  SELECT p.case_id, profile_id, CASE WHEN w_all > 1e-9 THEN w_exact / w_all ELSE 0 END AS exact, CASE WHEN w_all > 1e-9 THEN w_anc / w_all ELSE 0 END AS ancestor,
     CASE WHEN ic_all > 1e-9 THEN ic_hit / ic_all WHEN w_all > 1e-9 THEN w_anc / w_all ELSE 0 END AS ic_coverage,
-    CASE WHEN absent_all > 1e-9 THEN clash_sum / absent_all ELSE 0 END AS conflict, base + delta AS log_likelihood
-  FROM per_pair p JOIN per_case c ON c.case_id = p.case_id
+    CASE WHEN absent_all > 1e-9 THEN clash_sum / absent_all ELSE 0 END AS conflict, log_likelihood
+  FROM {name}_pair p JOIN {name}_case c ON c.case_id = p.case_id
 ),
-scores AS (
+{name} AS (
   SELECT *, log_likelihood + 0.5 * ic_coverage + 0.25 * exact + 0.1 * ancestor - 0.75 * conflict AS score,
     least(1, greatest(0, 0.45 * ic_coverage + 0.3 * exact + 0.25 * ancestor - 0.5 * conflict)) AS compatibility
-  FROM parts
-),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(ic_coverage, 10) DESC, round(exact, 10) DESC, round(score, 10) DESC, profile_id DESC) AS rank FROM scores
+  FROM {name}_parts
 )
 """
 
-ALL = ONTOLOGY + "," + PROFILES + STATS + OBSERVATIONS + SIMILARITY + EVIDENCE + SCORES
+
+ALL_KNOWN = ONTOLOGY + "," + PROFILES + STATS + OBSERVATIONS + SIMILARITY + KNOWN
+ALL = (
+    ALL_KNOWN
+    + ", pairs AS (SELECT case_id, profile_id FROM (SELECT DISTINCT case_id FROM clean) CROSS JOIN profile_ids)"
+    + evidence_sql("all_evidence", "pairs")
+    + scores_sql("scores", "all_evidence")
+    + """, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(ic_coverage, 10) DESC, round(exact, 10) DESC, round(score, 10) DESC, profile_id DESC) AS rank FROM scores
+)
+"""
+)
+#: The evidence of the ten first profiles of each case.
+EVIDENCE = ", firsts AS (SELECT case_id, profile_id FROM ranked WHERE rank <= 10)" + evidence_sql("evidence", "firsts")

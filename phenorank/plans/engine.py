@@ -40,7 +40,7 @@ def ontology_closure(spark, d):
 
 @query(
     base.ONTOLOGY
-    + """, looped AS (SELECT DISTINCT node FROM reach WHERE anc IN (SELECT node FROM reach WHERE node = anc)),
+    + """, looped AS (SELECT DISTINCT node FROM reach WHERE anc IN (SELECT node FROM reach WHERE node = anc) OR node IN (SELECT node FROM reach WHERE node = anc)),
 good AS (SELECT hpo_id FROM nodes WHERE hpo_id NOT IN (SELECT node FROM looped)),
 walk(node, depth) AS (
   SELECT hpo_id, 0 FROM good WHERE hpo_id NOT IN (SELECT child FROM links)
@@ -125,7 +125,7 @@ def information_content(spark, d):
 @query(base.ONTOLOGY + "," + base.PROFILES + base.STATS + "SELECT term, round(-ln((df + 1.0) / (n + 1.0)), 6) AS ic FROM stats CROSS JOIN n_profiles")
 def ic_alt_smoothing(spark, d):
     df = ontology.document_frequency(base.positive(spark, d), base.closed(spark, d))
-    return ontology.smoothed_ic(base.nodes(spark, d).withColumnRenamed("hpo_id", "term"), df, base.profiles(spark, d)).select("term", *six("ic"))
+    return ontology.smoothed_ic(base.nodes(spark, d).withColumnRenamed("hpo_id", "term"), df, base.profile_ids(spark, d).count()).select("term", *six("ic"))
 
 
 @query(base.ONTOLOGY + "," + base.PROFILES + base.STATS + base.OBSERVATIONS + base.SIMILARITY + "SELECT q, t, relation, dist, round(sim, 6) AS sim, round(strength, 6) AS strength FROM similarity")
@@ -197,9 +197,11 @@ def abstention_reason(spark, d):
 
 @query(
     base.ALL
+    + base.EVIDENCE
     + "SELECT case_id, ord, profile_id, relation, matched_term, distance, round(sim, 6) AS sim, round(probability, 6) AS probability, round(llr, 6) + 0.0 AS llr, round(w * llr, 6) + 0.0 AS contribution FROM evidence"
 )
 def evidence_rows(spark, d):
+    """What speaks for and against the ten first profiles of each case."""
     return base.evidence(spark, d).select("case_id", "ord", "profile_id", "relation", "matched_term", "distance", *six("sim", "probability", "llr", "contribution"))
 
 
@@ -209,12 +211,12 @@ _SHOWN = ["ic_coverage", "exact", "ancestor", "conflict", "score", "compatibilit
 
 @query(base.ALL + _RANK.format("ranked"))
 def rank_ic_coverage(spark, d):
-    return ranking.ranked(base.scores(spark, d)).select("case_id", "profile_id", "rank", *six(*_SHOWN))
+    return base.top(spark, d).select("case_id", "profile_id", "rank", *six(*_SHOWN))
 
 
 @query(base.ALL + ", lik AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY case_id ORDER BY round(score, 10) DESC, profile_id DESC) AS rank FROM ranked)" + _RANK.format("lik"))
 def rank_likelihood(spark, d):
-    return ranking.ranked(base.scores(spark, d), "LIKELIHOOD_SCORE").select("case_id", "profile_id", "rank", *six(*_SHOWN))
+    return ranking.top_profiles(*base.engine(spark, d), strategy="LIKELIHOOD_SCORE").select("case_id", "profile_id", "rank", *six(*_SHOWN))
 
 
 @query(
@@ -225,8 +227,9 @@ def rank_likelihood(spark, d):
 )
 def rank_subset(spark, d):
     """Ranked among the profiles with an inheritance annotation."""
-    subset = table(spark, d, "hpoa_annotation").where("aspect = 'I'").select(F.col("database_id").alias("profile_id"))
-    return ranking.ranked(base.scores(spark, d), subset=subset).select("case_id", "profile_id", "rank", *six(*_SHOWN))
+    subset = table(spark, d, "hpoa_annotation").where("aspect = 'I'").select(F.col("database_id").alias("profile_id")).distinct()
+    obs, known, by_term, by_profile, *rest = base.engine(spark, d)
+    return ranking.top_profiles(obs, known, by_term, by_profile.join(subset, "profile_id", "left_semi"), *rest).select("case_id", "profile_id", "rank", *six(*_SHOWN))
 
 
 @query(
@@ -241,25 +244,33 @@ SELECT case_id, concept_id, profile_id, members, rank FROM fin WHERE rank <= 10"
 def rank_concept_merged(spark, d):
     """Profiles of one disease name are one concept."""
     concepts = table(spark, d, "hpoa_annotation").groupBy(F.col("database_id").alias("profile_id")).agg(F.min("disease_name").alias("concept_id"))
-    return ranking.concept_merged(base.scores(spark, d), concepts).select("case_id", "concept_id", "profile_id", "members", "rank")
-
-
-_GROUPS = """, tops AS (SELECT c.term, min(c.anc) AS group_id FROM closed c WHERE c.anc NOT IN (SELECT child FROM links) GROUP BY c.term),
-bounded AS (SELECT e.*, g.group_id, least(5, greatest(-5, CASE WHEN e.status = 'ABSENT' THEN ln(1 - probability) - ln(1 - background) ELSE ln(probability) - ln(background) END)) AS cap
-  FROM evidence e LEFT JOIN tops g ON g.term = e.term),
-grouped AS (SELECT case_id, profile_id, group_id, sum(w * cap) AS total FROM bounded GROUP BY ALL),
-capped AS (SELECT case_id, profile_id, sum(CASE WHEN group_id IS NULL THEN total ELSE least(8, greatest(-8, total)) END) AS llr,
-  sum((group_id IS NOT NULL AND abs(total) > 8)::INT) AS capped_groups FROM grouped GROUP BY ALL)
+    named = base.profile_ids(spark, d).join(concepts, "profile_id", "left").select("profile_id", F.coalesce("concept_id", "profile_id").alias("concept_id"))
+    members = named.groupBy("concept_id").agg(F.array_join(F.array_sort(F.collect_set("profile_id")), ",").alias("members"))
+    return ranking.top_profiles(*base.engine(spark, d), concepts=named).join(members, "concept_id").select("case_id", "concept_id", "profile_id", "members", "rank")
+
+
+_TOPS = "tops AS (SELECT c.term, min(c.anc) AS group_id FROM closed c WHERE c.anc IN (SELECT child FROM links WHERE parent = 'HP:0000118') GROUP BY c.term)"
+_GROUPS = (
+    base.EVIDENCE
+    + f", {_TOPS},"
+    + """
+  bounded AS (SELECT e.*, g.group_id, least(5, greatest(-5, CASE WHEN e.status = 'ABSENT' THEN ln(1 - probability) - ln(1 - background) ELSE ln(probability) - ln(background) END)) AS cap
+    FROM evidence e LEFT JOIN tops g ON g.term = e.term),
+  grouped AS (SELECT case_id, profile_id, group_id, sum(w * cap) AS total FROM bounded GROUP BY ALL),
+  capped AS (SELECT case_id, profile_id, sum(CASE WHEN group_id IS NULL THEN total ELSE least(8, greatest(-8, total)) END) AS llr,
+    sum((group_id IS NOT NULL AND abs(total) > 8)::INT) AS capped_groups FROM grouped GROUP BY ALL)
 """
+)
 
 
-@query(base.ONTOLOGY + ", tops AS (SELECT c.term, min(c.anc) AS group_id FROM closed c WHERE c.anc NOT IN (SELECT child FROM links) GROUP BY c.term) SELECT term, group_id FROM tops")
+@query(base.ONTOLOGY + f", {_TOPS} SELECT term, group_id FROM tops")
 def organ_group(spark, d):
-    return ontology.top_group(base.closed(spark, d), base.links(spark, d))
+    """The direct child of the root that each term belongs to."""
+    return ontology.organ_group(base.closed(spark, d), base.links(spark, d), base.ROOT)
 
 
 def _capped(spark: SparkSession, d: str) -> DataFrame:
-    groups = ontology.top_group(base.closed(spark, d), base.links(spark, d))
+    groups = ontology.organ_group(base.closed(spark, d), base.links(spark, d), base.ROOT)
     e = base.evidence(spark, d).join(groups, "term", "left")
     cap = probability.bounded_llr(F.col("probability"), F.col("background"), F.col("status") == "ABSENT")
     return probability.group_capped(e.withColumn("contribution", F.col("w") * cap), ["case_id", "profile_id"])
@@ -295,7 +306,7 @@ def _priors(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_prior(spark: SparkSession, d: str) -> DataFrame:
     cohort = table(spark, d, "calibration_case").groupBy("case_id").agg(F.min("cohort_id").alias("cohort_id")).withColumn("sex", F.lit(None).cast("string"))
-    top = ranking.ranked(base.scores(spark, d)).select("case_id", "profile_id", "rank").join(_capped(spark, d), ["case_id", "profile_id"], "left").withColumn("llr", F.coalesce("llr", F.lit(0.0))).join(cohort, "case_id")
+    top = base.top(spark, d).select("case_id", "profile_id", "rank").join(_capped(spark, d), ["case_id", "profile_id"]).join(cohort, "case_id")
     return probability.prior_for(top, _priors(spark, d)).select("case_id", "profile_id", "rank", "llr", "prior")
 
 
@@ -346,7 +357,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
         F.expr("case evidence when 'PCS' then 'curated' when 'TAS' then 'strong' when 'IEA' then 'limited' else 'candidate' end").alias("evidence_type"),
         F.expr("case when onset is null then 'sequencing' else 'array' end").alias("test_evidence_type"),
     )
-    return downstream.judged_associations(a.distinct(), ranking.ranked(base.scores(spark, d), top_k=20).select("case_id", "profile_id", "rank"))
+    return downstream.judged_associations(a.distinct(), base.top(spark, d, 20).select("case_id", "profile_id", "rank"))
 
 
 @query(base.ALL + _ASSOC + "SELECT case_id, gene, round(score, 6) + 0.0 AS score, explanations, rank FROM gene_ranks WHERE rank <= 20")
@@ -375,19 +386,17 @@ def test_considerations(spark, d):
     """WITH v AS (SELECT event_id AS variant_id, 'G' || (user_id % 97) AS gene, value / 100 AS score, CASE WHEN event_type = 'error' THEN 'LowQual' ELSE 'PASS' END AS f FROM events),
 g AS (SELECT DISTINCT gene, row_number() OVER (ORDER BY n DESC, gene) AS rank FROM (SELECT gene, count(*) AS n FROM v GROUP BY 1)),
 kept AS (SELECT v.variant_id, v.gene, 0.5 * score + 0.5 / g.rank AS combined FROM v JOIN g ON g.gene = v.gene WHERE f = 'PASS' AND score BETWEEN 0 AND 1)
-SELECT variant_id, gene, round(combined, 9) AS combined, row_number() OVER (PARTITION BY gene ORDER BY round(combined, 10) DESC, variant_id) AS rank FROM kept"""
+SELECT variant_id, gene, round(combined, 9) AS combined, row_number() OVER (ORDER BY round(combined, 10) DESC, variant_id) AS rank FROM kept"""
 )
 def variant_ranking(spark, d):
     """Events stand in for variants: the user is the gene, the value the score, errors fail the filter."""
-    from pyspark.sql import Window
-
     v = table(spark, d, "events").select(
         F.col("event_id").alias("variant_id"),
         F.concat(F.lit("G"), F.col("user_id") % 97).alias("gene"),
         (F.col("value") / 100).alias("score"),
         F.when(F.col("event_type") == "error", "LowQual").otherwise("PASS").alias("filter"),
     )
-    genes = v.groupBy("gene").count().withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), "gene")))
+    genes = downstream.with_place(v.groupBy("gene").count(), F.col("count").desc(), F.col("gene"))
     return downstream.variant_ranking(v, genes).select("variant_id", "gene", F.round("combined", 9).alias("combined"), "rank")
 
 
@@ -399,7 +408,7 @@ listed AS (SELECT *, row_number() OVER (PARTITION BY case_id, profile_id ORDER B
 SELECT case_id, profile_id, term, round(freq, 6) AS freq, pos FROM listed WHERE pos <= 25"""
 )
 def features_to_check(spark, d):
-    top = ranking.ranked(base.scores(spark, d))
+    top = base.top(spark, d)
     return downstream.features_to_check(top, base.positive(spark, d), base.case_observations(spark, d)).select("case_id", "profile_id", "term", *six("freq"), "pos")
 
 
@@ -412,20 +421,21 @@ seen AS (SELECT *, row_number() OVER (PARTITION BY case_id, term ORDER BY rank,
 SELECT case_id, term, rank, pos FROM seen WHERE n = 1"""
 )
 def phenotypes_to_collect(spark, d):
-    top = ranking.ranked(base.scores(spark, d))
+    top = base.top(spark, d)
     return downstream.phenotypes_to_collect(downstream.features_to_check(top, base.positive(spark, d), base.case_observations(spark, d)), top)
 
 
 @query(
     base.ONTOLOGY
     + base.OBSERVATIONS
-    + """, tops AS (SELECT c.term, min(c.anc) AS group_id FROM closed c WHERE c.anc NOT IN (SELECT child FROM links) GROUP BY c.term),
+    + f", {_TOPS},"
+    + """
 f AS (SELECT o.case_id, o.term, g.group_id FROM clean o LEFT JOIN tops g ON g.term = o.term WHERE status IN ('PRESENT', 'SUSPECTED'))
 SELECT case_id, coalesce(string_agg(DISTINCT group_id, ' + ' ORDER BY group_id), '') AS organs, count(DISTINCT group_id) AS n_organs, count(DISTINCT term) AS n_terms,
   count(DISTINCT group_id) >= 2 OR count(DISTINCT term) >= 3 AS multiple FROM f GROUP BY case_id"""
 )
 def pattern_synthesis(spark, d):
-    return downstream.pattern(base.case_observations(spark, d), ontology.top_group(base.closed(spark, d), base.links(spark, d)))
+    return downstream.pattern(base.case_observations(spark, d), ontology.organ_group(base.closed(spark, d), base.links(spark, d), base.ROOT))
 
 
 @query(
@@ -438,7 +448,7 @@ SELECT case_id, profile_id, rank, new_rank FROM new WHERE new_rank <= 5"""
 def disease_rerank(spark, d):
     """Reranked by a factor per word of the name, as a stand-in for rule tables."""
     names = table(spark, d, "hpoa_annotation").groupBy(F.col("database_id").alias("profile_id")).agg(F.min("disease_name").alias("name"))
-    top = ranking.ranked(base.scores(spark, d), top_k=20)
+    top = base.top(spark, d, 20)
     rules = F.explode(F.array_compact(F.array(F.when(F.col("name").contains("dysplasia"), F.lit(1.5)), F.when(F.col("name").contains("complex"), F.lit(0.1)))))
     bonus = top.join(names, "profile_id").select("case_id", "profile_id", rules.alias("factor"))
     return downstream.reranked(top, bonus).select("case_id", "profile_id", "rank", "new_rank")

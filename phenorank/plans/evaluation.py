@@ -49,14 +49,13 @@ hit_ranks AS (SELECT g.case_id, min(r.rank) AS hit_rank FROM golds g LEFT JOIN r
 round(avg((coalesce(hit_rank, 999999) <= 5)::INT), 6) AS top_5, round(avg((coalesce(hit_rank, 999999) <= 10)::INT), 6) AS top_10, round(avg(coalesce(1.0 / hit_rank, 0)), 6) AS mrr FROM hit_ranks"""
 )
 def ranking_metrics(spark, d):
-    ranks = ranking.ranked(base.scores(spark, d), top_k=None).select("case_id", "profile_id", "rank")
-    return metrics.ranking_metrics(metrics.first_hit(ranks, _golds(spark, d))).select("cases", *six("top_1", "top_3", "top_5", "top_10", "mrr"))
+    return metrics.ranking_metrics(first_relevant_rank(spark, d)).select("cases", *six("top_1", "top_3", "top_5", "top_10", "mrr"))
 
 
 @query(_HITS + "SELECT case_id, hit_rank FROM hit_ranks")
 def first_relevant_rank(spark, d):
-    ranks = ranking.ranked(base.scores(spark, d), top_k=None).select("case_id", "profile_id", "rank")
-    return metrics.first_hit(ranks, _golds(spark, d))
+    golds = _golds(spark, d)
+    return metrics.hit_rank(base.kept(spark, d, "gold_places", lambda: ranking.places(golds, *base.engine(spark, d))), golds)
 
 
 _SCORED = "WITH scored AS (SELECT linking_confidence AS score, (hpo_id IS NOT NULL)::INT AS label FROM phenotype_mention WHERE linking_confidence BETWEEN 0 AND 1)"
@@ -275,14 +274,20 @@ def selection_state_fold(spark, d):
 
 
 @query(
-    base.ALL
+    "WITH "
+    + base.PROFILES
     + """, golds AS (SELECT DISTINCT case_id, upper(trim(unnest(gold_disease_ids))) AS profile_id FROM calibration_case WHERE case_id IS NOT NULL),
-rest AS (SELECT case_id, profile_id, row_number() OVER (PARTITION BY case_id ORDER BY sha256('17|' || case_id || '|' || profile_id), profile_id) AS n, count(*) OVER (PARTITION BY case_id) AS all_n
-  FROM scores WHERE (case_id, profile_id) NOT IN (SELECT (case_id, profile_id) FROM golds))
-SELECT case_id, profile_id, 1 AS label, 1.0 AS weight FROM golds UNION ALL SELECT case_id, profile_id, 0, round(all_n / least(all_n, 100), 6) FROM rest WHERE n <= 100"""
+ids AS (SELECT profile_id, row_number() OVER (ORDER BY substr(sha256(profile_id), 1, 2), profile_id) - 1 AS at FROM (SELECT DISTINCT profile_id FROM annot)),
+total AS (SELECT count(*) AS n FROM ids),
+draws AS (SELECT case_id, ('0x' || substr(sha256('17|' || case_id || '|' || d), 1, 8))::BIGINT % n AS at, min(d) AS draw FROM (SELECT DISTINCT case_id FROM golds) CROSS JOIN range(400) r(d) CROSS JOIN total GROUP BY 1, 2),
+kept AS (SELECT d.case_id, i.profile_id, row_number() OVER (PARTITION BY d.case_id ORDER BY draw) AS k FROM draws d JOIN ids i ON i.at = d.at WHERE NOT EXISTS (SELECT 1 FROM golds g WHERE g.case_id = d.case_id AND g.profile_id = i.profile_id)),
+firsts AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS drawn FROM kept WHERE k <= 100),
+known AS (SELECT g.case_id, count(i.profile_id) AS golds FROM golds g LEFT JOIN ids i ON i.profile_id = g.profile_id GROUP BY 1)
+SELECT case_id, profile_id, 1 AS label, 1.0::DOUBLE AS weight FROM golds
+UNION ALL SELECT f.case_id, f.profile_id, 0, round((n - k.golds) / drawn, 6) FROM firsts f JOIN known k ON k.case_id = f.case_id CROSS JOIN total"""
 )
 def negative_sampling(spark, d):
-    return splits.sampled_negatives(base.scores(spark, d), _golds(spark, d)).select("case_id", "profile_id", "label", *six("weight"))
+    return splits.sampled_negatives(base.profile_ids(spark, d), _golds(spark, d)).select("case_id", "profile_id", "label", *six("weight"))
 
 
 @query(
@@ -308,9 +313,10 @@ def case_label_problems(spark, d):
 
 @query()
 def calibrated_candidates(spark, d):
-    """Candidates with a probability from a logistic model fitted on sampled negatives (an iterative fit: no SQL)."""
+    """The ten first candidates of each case with a probability from a logistic model fitted on sampled negatives (an iterative fit: no SQL)."""
     features = ["exact", "ancestor", "ic_coverage", "conflict"]
-    scored = base.scores(spark, d)
-    rows = splits.sampled_negatives(scored, _golds(spark, d)).join(scored, ["case_id", "profile_id"])
+    scored = base.top(spark, d)
+    labels = splits.sampled_negatives(base.profile_ids(spark, d), _golds(spark, d))
+    rows = labels.join(base.pair_scores(spark, d, labels), ["case_id", "profile_id"])
     model = splits.fit_logistic(rows, features, weight="weight")
     return splits.predicted(scored, model, features).select("case_id", "profile_id", *six("probability"))

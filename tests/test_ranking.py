@@ -41,9 +41,14 @@ def toy(spark):
     df = ontology.document_frequency(positive, closed)
     stats = ontology.information_content(nodes.withColumnRenamed("hpo_id", "term"), df, 4, root="HP:0000118")
     obs = spark.createDataFrame(OBS, "case_id string, ord int, term string, status string, w double")
-    sim = ontology.term_similarity(obs.select("term"), positive.select("term").union(negative.select("term")), closed, stats)
-    rows = ranking.evidence(obs, sim, positive, negative, stats)
-    return dict(links=links, nodes=nodes, closed=closed, stats=stats, obs=obs, rows=rows, scores=ranking.scores(obs, rows, stats))
+    skip, root, ic = ontology.trunk(closed, stats, "HP:0000118")
+    assert sorted(skip) == ["HP:0000001", "HP:0000118"] and root == "HP:0000001" and ic == pytest.approx(0.105361, abs=1e-6)
+    sim = ontology.term_similarity(obs.select("term"), positive.select("term").union(negative.select("term")), closed, stats, skip)
+    profiles = spark.createDataFrame([(f"DX:{k}",) for k in range(1, 6)], "profile_id string")  # the last has no term at all
+    engine = (obs, ranking.known_matches(obs, sim, positive, negative), *ranking.root_matches(closed, positive, profiles, root, ic), stats, ic)
+    pairs = profiles.where("profile_id <> 'DX:5'").selectExpr("'C' case_id", "profile_id")
+    rows = ranking.evidence(pairs, *engine)
+    return dict(links=links, nodes=nodes, closed=closed, stats=stats, obs=obs, rows=rows, scores=ranking.scores(obs, rows, stats), engine=engine, pairs=pairs)
 
 
 def test_information_content(toy):
@@ -78,6 +83,32 @@ def test_orders_and_limits(toy):
         ranking.ranked(toy["scores"], top_k=-1)
 
 
+@pytest.mark.parametrize("blocks", [(4096, 1024), (2, 1)])
+def test_blocks(spark, toy, monkeypatch, blocks):
+    """Scored in blocks, all profiles have the scores that they have one by one."""
+    monkeypatch.setattr(ranking, "BLOCK_PROFILES", blocks[0])
+    monkeypatch.setattr(ranking, "BLOCK_CASES", blocks[1])
+    obs, *rest = toy["engine"]
+    more = obs.unionByName(obs.selectExpr("'B' case_id", "ord", "term", "'ABSENT' status", "w")).unionByName(obs.where("ord = 0").selectExpr("'N' case_id", "ord", "term", "'NOT_ASSESSED' status", "w"))
+    for strategy, want in (("IC_COVERAGE", ["DX:3", "DX:1", "DX:2", "DX:4", "DX:5"]), ("LIKELIHOOD_SCORE", ["DX:2", "DX:3", "DX:1", "DX:4", "DX:5"])):
+        got = ranking.top_profiles(more, *rest, strategy=strategy).collect()
+        assert [r.profile_id for r in sorted(got, key=lambda r: r["rank"]) if r.case_id == "C"] == want
+        assert sorted({r.case_id for r in got}) == ["B", "C", "N"] and len(got) == 15
+        for r in got:
+            if r.case_id == "C" and r.profile_id in WANT:
+                assert (r.exact, r.ancestor, r.ic_coverage, r.conflict, r.log_likelihood, r.score, r.compatibility) == pytest.approx(WANT[r.profile_id], abs=2e-6)
+        assert all(r.score == 0 for r in got if r.case_id == "N") and [r.profile_id for r in sorted(got, key=lambda r: r["rank"]) if r.case_id == "N"][0] == "DX:5"
+        pairs = toy["pairs"].unionByName(spark.createDataFrame([("C", "DX:9"), ("Z", "DX:1"), ("N", "DX:1")], "case_id string, profile_id string"))
+        assert {(r.case_id, r.profile_id): r["rank"] for r in ranking.places(pairs, more, *rest, strategy=strategy).collect()} == {("C", p): k + 1 for k, p in enumerate(want[:4])} | {("N", "DX:1"): 5}
+        assert {r.profile_id for r in ranking.top_profiles(more, *rest, strategy=strategy, top_k=1).where("case_id = 'C'").collect()} == {want[0]}
+    concepts = spark.createDataFrame([("DX:3", "X"), ("DX:1", "X"), ("DX:4", "Y"), ("DX:5", "Y")], "profile_id string, concept_id string")
+    got = ranking.top_profiles(*toy["engine"], top_k=2, concepts=concepts).orderBy("rank").collect()
+    assert [(r.concept_id, r.profile_id) for r in got] == [("X", "DX:3"), ("DX:2", "DX:2")]
+    assert ranking.top_profiles(more.limit(0), *rest).count() == 0
+    alone = ranking.evidence(toy["pairs"].selectExpr("case_id", "'DX:5' profile_id").distinct(), *toy["engine"]).collect()
+    assert {r.relation for r in alone} == {"no_match"} and {r.matched_term for r in alone} == {None}
+
+
 def test_sanitation(spark, toy):
     def rows(*pairs):
         data = [("C", n, t, s, "fetus", None, None, None, None, None) for n, (t, s) in enumerate(pairs)]

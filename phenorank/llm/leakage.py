@@ -1,25 +1,28 @@
-"""Evaluation passages inside training text, by exact shingle containment.
-
-A passage of which at most one word in so many is changed keeps a number of shingles whole, so stretches of a document
-with that many of the items' shingles within the span of a shortest passage are its candidates: none is lost. They are
-verified by the shingles of each item and by aligning the words. Documents are read once per block of items, and
-nothing is shuffled but the found pairs.
+"""Evaluation passages inside training text: MinHash containment search, verified by exact shingle containment.
+
+What must be contained is a passage, a part of an item, so both sides are cut to the size of a shortest passage: items
+and documents, however long, are compared through sets of one size. A passage of which at most one word in so many is
+changed keeps a run of untouched words; the minima of the hashed shingles of every window that short are the same on
+both sides, so a document and an item that share a passage share a minimum: none is lost. Documents are read once,
+whatever the number of items; only stretches that hold enough of the items' shingles, told by a bitmap, leave that pass
+and are joined with the items on the minima. Pairs are verified by the shingles they share and by aligning the words.
 """
 
 from __future__ import annotations
 
 import difflib
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenorank.llm.words import folded, shingles, word_hashes
+from phenorank.session import written, written_counting
 
 
 @dataclass(frozen=True)
@@ -39,49 +42,28 @@ class Search:
         """Shingles of a shortest passage that errors can't have touched."""
         return max(1, self.passage - self.shingle + 1 - self.errors * self.shingle)
 
+    @property
+    def window(self) -> int:
+        """Shingles in a row that some run between errors leaves whole."""
+        return max(1, math.ceil((self.passage - self.errors) / (self.errors + 1)) - self.shingle + 1)
+
+    @property
+    def reach(self) -> int:
+        return self.passage + self.errors
+
 
-#: Bits of a shingle by which most shingles that no item has are told before they are looked up.
-_BITS = 22
-
-
-def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(ordered, values)
-    at[at == len(ordered)] = 0
-    return ordered[at] == values
-
-
-class Items:
-    """Evaluation items with their shingles."""
-
-    def __init__(self, rows: list[tuple[int, str]], search: Search):
-        self.search = search
-        self.words: dict[int, np.ndarray] = {}
-        self.chunk: dict[int, np.ndarray] = {}
-        codes, owner = [], []
-        for item, text in rows:
-            joined = folded(text)
-            words, _, place = word_hashes([joined])
-            if len(words) < search.shingle:
-                continue
-            self.words[item] = words
-            blanks = np.cumsum(np.frombuffer(joined + b" ", np.uint8) <= 32)
-            self.chunk[item] = blanks[place]  # words between the same blanks are one word in print
-            own = shingles(words, search.shingle)
-            codes.append(own)
-            owner += [item] * len(own)
-        flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.codes, self.owner = flat[order], np.asarray(owner, np.int64)[order]
-        self.distinct = np.unique(self.codes)
-        self.likely = np.zeros(1 << _BITS, bool)
-        self.likely[self.distinct >> np.uint64(64 - _BITS)] = True
-
-    def owners(self, codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(place in ``codes``, items that have this shingle)."""
-        left, right = np.searchsorted(self.codes, codes, "left"), np.searchsorted(self.codes, codes, "right")
-        return [(k, np.unique(self.owner[a:b])) for k, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)) if b > a]
+#: Bits of the bitmap per shingle of the items, and the most of all (32 MB): beyond, it tells apart less, never wrongly.
+BITS_PER_SHINGLE, MOST_BITS, CHUNK_BITS = 32, 28, 17
+
+
+def minima(codes: np.ndarray, window: int) -> np.ndarray:
+    """The different minima of all runs of ``window`` codes."""
+    if len(codes) < window:
+        return codes[:0]
+    least = codes[: len(codes) - window + 1].copy()
+    for k in range(1, window):
+        np.minimum(least, codes[k : len(codes) - window + 1 + k], out=least)
+    return np.unique(least)
 
 
 def holds(doc: np.ndarray, item: np.ndarray, chunk: np.ndarray, search: Search) -> bool:
@@ -110,97 +92,146 @@ def holds(doc: np.ndarray, item: np.ndarray, chunk: np.ndarray, search: Search)
     return False
 
 
-def search_batch(ids: list[int], texts: list[bytes], items: Items) -> list[tuple[int, int]]:
-    """(doc, item) pairs of a batch of folded texts."""
-    search = items.search
+def contained(stretch: np.ndarray, item: np.ndarray, chunk: np.ndarray, search: Search) -> bool:
+    """Exact shingle containment, then alignment: whether ``stretch`` of a document has a passage of ``item``."""
+    places = np.flatnonzero(np.isin(shingles(stretch, search.shingle), shingles(item, search.shingle)))
+    if len(places) < search.least_shingles:
+        return False
+    if (np.searchsorted(places, places + search.reach) - np.arange(len(places))).max() < search.least_shingles:
+        return False
+    low, high = max(0, places[0] - search.reach), places[-1] + search.shingle + search.reach
+    return holds(stretch[low:high], item, chunk, search)
+
+
+def item_rows(ids: list, texts: list[str], search: Search) -> list[tuple]:
+    """(item, words, number of each word as printed, shingles, minima); items shorter than a passage have no row."""
+    rows = []
+    for item, text in zip(ids, texts, strict=True):
+        joined = folded(text)
+        words, _, place = word_hashes([joined])
+        blanks = np.cumsum(np.frombuffer(joined + b" ", np.uint8) <= 32)  # words between the same blanks are one word in print
+        codes = shingles(words, search.shingle)
+        if len(codes) >= search.least_shingles:
+            rows.append((item, words.view(np.int64), blanks[place].astype(np.int32), codes.view(np.int64), minima(codes, search.window).view(np.int64)))
+    return rows
+
+
+def stretches(texts: list[bytes], likely: np.ndarray, bits: int, search: Search) -> list[tuple[int, np.ndarray]]:
+    """(number of the text, words) of all stretches with enough likely shingles within the span of a shortest passage."""
     words, text_of, _ = word_hashes(texts)
     codes = shingles(words, search.shingle)
     if not len(codes):
         return []
-    reach = search.passage + search.errors
-    places = np.flatnonzero(items.likely[codes >> np.uint64(64 - _BITS)])
+    at = codes >> np.uint64(64 - bits)
+    places = np.flatnonzero((likely[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
     # shingles over the end of a text aren't any
     places = places[text_of[places] == text_of[places + search.shingle - 1]]
-    exact = places[_member(codes[places], items.distinct)]
-    if not len(exact):
+    if not len(places):
         return []
-    # exact containment: enough untouched shingles within the span of a shortest passage
-    same = np.searchsorted(exact, exact + reach)
-    enough = np.flatnonzero(same - np.arange(len(exact)) >= search.least_shingles)
+    same = np.searchsorted(places, places + search.reach)
+    same = np.minimum(same, np.searchsorted(text_of[places], text_of[places], "right"))
+    enough = np.flatnonzero(same - np.arange(len(places)) >= search.least_shingles)
     if not len(enough):
         return []
-    keep = np.zeros(len(exact) + 1, np.int32)
+    keep = np.zeros(len(places) + 1, np.int32)
     np.add.at(keep, enough, 1)
     np.add.at(keep, same[enough], -1)
-    exact = exact[np.cumsum(keep[:-1]) > 0]
-    breaks = np.flatnonzero((np.diff(exact) > reach) | (np.diff(text_of[exact]) != 0)) + 1
-    found = []
-    text_start = np.searchsorted(text_of, np.arange(len(texts)), "left")
-    text_end = np.searchsorted(text_of, np.arange(len(texts)), "right")
-    for run in np.split(exact, breaks):
+    places = places[np.cumsum(keep[:-1]) > 0]
+    breaks = np.flatnonzero((np.diff(places) > search.reach) | (np.diff(text_of[places]) != 0)) + 1
+    start, end = np.searchsorted(text_of, np.arange(len(texts)), "left"), np.searchsorted(text_of, np.arange(len(texts)), "right")
+    out = []
+    for run in np.split(places, breaks):
         text = int(text_of[run[0]])
-        votes: dict[int, list[int]] = {}
-        for k, owners in items.owners(codes[run]):
-            for item in owners.tolist():
-                votes.setdefault(item, []).append(int(run[k]))
-        for item, at in votes.items():
-            if len(at) < search.least_shingles:
-                continue
-            at_array = np.asarray(at)
-            ahead = np.searchsorted(at_array, at_array + reach) - np.arange(len(at))
-            if ahead.max() < search.least_shingles:
-                continue
-            low, high = max(text_start[text], at[0] - reach), min(text_end[text], at[-1] + search.shingle + reach)
-            if holds(words[low:high], items.words[item], items.chunk[item], search):
-                found.append((ids[text], item))
-    return found
-
-
-_made: dict[str, Items] = {}
-
-
-def leaked(documents: DataFrame, items: DataFrame, search: Search = Search(), block: int = 4_000, chunk_bytes: int = 2_000_000) -> DataFrame:
+        out.append((text, words[max(start[text], run[0] - search.reach) : min(end[text], run[-1] + search.shingle + search.reach)]))
+    return out
+
+
+_LIST = pa.list_(pa.int64())
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), kind))
+
+
+def _bitmap(codes: DataFrame, bits: int) -> bytes:
+    """A bit for the leading bits of every code, made in parts of fixed size; at most ``2**MOST_BITS`` bits reach the driver."""
+    small = min(bits, CHUNK_BITS)
+    at = codes.select(F.shiftrightunsigned("code", 64 - bits).alias("at")).distinct()
+    at = at.select(F.shiftright("at", small).alias("part"), F.col("at").bitwiseAND(F.lit((1 << small) - 1)).cast("int").alias("bit"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << small, np.uint8)
+        flags[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    size = (1 << small) // 8
+    out = bytearray(size << (bits - small))
+    for row in at.groupBy("part").applyInPandas(fill, "part bigint, bits binary").toLocalIterator():
+        out[row.part * size : (row.part + 1) * size] = row.bits
+    return bytes(out)
+
+
+def leaked(documents: DataFrame, items: DataFrame, search: Search = Search(), chunk_bytes: int = 2_000_000) -> DataFrame:
     """``(doc_id, item_id)``: documents that hold a passage of an item, whole texts against whole items.
 
     Letter case, accents, punctuation, line breaks, markup and odd characters don't count. Null ids and texts, blank
-    texts and items shorter than a passage give no row; repeated rows give one. Items are taken in blocks of at most
-    ``block``, the documents being read once per block, so that what is broadcast stays bounded.
+    texts and items shorter than a passage give no row; repeated rows give one. Stretches that are the same in many
+    documents are joined and verified once. The rows don't depend on how the tables are partitioned.
     """
     spark = documents.sparkSession
+    doc_type, item_type = documents.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     wanted = items.select("item_id", "text").where("item_id is not null and text is not null")
-    blocks = max(1, math.ceil(wanted.count() / block))
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            rows = item_rows(list(range(len(ids))), batch.column(1).to_pylist(), search)
+            columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), _lists([r[1] for r in rows]), _lists([r[2] for r in rows], pa.int32()), _lists([r[3] for r in rows]), _lists([r[4] for r in rows])]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "item_words", "chunk", "codes", "minima"])
+
+    known, _, seen = written_counting(wanted.mapInArrow(prepare, f"item_id {item_type}, item_words array<bigint>, chunk array<int>, codes array<bigint>, minima array<bigint>"), "items", codes=F.sum(F.size("codes")))
+    bits = min(MOST_BITS, max(10, (seen["codes"] * BITS_PER_SHINGLE).bit_length()))
+    shared = spark.sparkContext.broadcast(_bitmap(known.select(F.explode("codes").alias("code")), bits))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            of: list[int] = []
+            found: list[np.ndarray] = []
+            rows: list[int] = []
+            texts: list[bytes] = []
+            size = 0
+            for row, text in enumerate(batch.column(1)):
+                rows.append(row)
+                texts.append(folded(text.as_py()))
+                size += len(texts[-1])
+                if size >= chunk_bytes or row == batch.num_rows - 1:
+                    for number, words in stretches(texts, likely, bits, search):
+                        of.append(rows[number])
+                        found.append(words)
+                    rows, texts, size = [], [], 0
+            least = [minima(shingles(words, search.shingle), search.window).view(np.int64) for words in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), _lists([w.view(np.int64) for w in found]), _lists(least)], ["doc_id", "words", "minima"])
+
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    parts = []
-    for number in range(blocks):
-        rows = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).collect()]
-        shared = spark.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            known = _made.get(name)  # a worker's next task finds the items ready
-            if known is None:
-                _made.clear()
-                known = _made[name] = Items(shared.value, search)
-            for batch in batches:
-                found: list[tuple[int, int]] = []
-                ids: list[int] = []
-                texts: list[bytes] = []
-                size = 0
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids.append(doc)
-                    texts.append(folded(text.as_py()))
-                    size += len(texts[-1])
-                    if size >= chunk_bytes:
-                        found += search_batch(ids, texts, known)
-                        ids, texts, size = [], [], 0
-                if ids:
-                    found += search_batch(ids, texts, known)
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["doc_id", "item_id"])
-
-        parts.append(docs.mapInArrow(run, "doc_id bigint, item_id bigint"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    held, _ = written(docs.mapInArrow(read, f"doc_id {doc_type}, words array<bigint>, minima array<bigint>").withColumn("stretch", F.sha2(F.to_json("words"), 256)), "stretches")
+    once = held.groupBy("stretch").agg(F.first("words").alias("words"), F.first("minima").alias("minima"))
+    once, _ = written(once, "stretches")
+    near = once.select("stretch", F.explode("minima").alias("code")).join(known.select("item_id", F.explode("minima").alias("code")), "code").select("stretch", "item_id").distinct()
+    pairs = near.join(once.select("stretch", "words"), "stretch").join(known.select("item_id", "item_words", "chunk"), "item_id").select("stretch", "item_id", "words", "item_words", "chunk")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                words, item, chunk = (np.asarray(batch.column(c)[k].values) for c in (2, 3, 4))
+                if contained(words.view(np.uint64), item.view(np.uint64), chunk, search):
+                    rows.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)], ["stretch", "item_id"])
+
+    sure = pairs.mapInArrow(verify, f"stretch string, item_id {item_type}")
+    return held.select("stretch", "doc_id").join(sure, "stretch").select("doc_id", "item_id").distinct()
 
 
 def found(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def test_leakage_against_plain_search(spark):
     df = spark.createDataFrame([*docs, (900, None), (901, ""), (None, docs[0][1]), docs[0]], "doc_id bigint, text string")
     it = spark.createDataFrame([*[(k, " ".join(w)) for k, w in items], (99, None), (98, "too short")], "item_id bigint, text string")
     assert {tuple(r) for r in leakage.found(spark, df, it).collect()} == want
-    assert {tuple(r) for r in leakage.leaked(df, it, block=5).collect()} == want
+    assert {tuple(r) for r in leakage.leaked(df.repartition(7), it.repartition(3), chunk_bytes=500).collect()} == want
     assert leakage.found(spark, df.limit(0), it).count() == 0 and leakage.found(spark, df, it.limit(0)).count() == 0
 
 

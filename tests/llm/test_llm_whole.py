@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
+
 from phenorank.llm import leakage, mapping, residue
 from phenorank.llm.words import folded
 
@@ -28,11 +30,24 @@ def test_passages_with_evenly_spaced_changes():
     rng, search = random.Random(11), leakage.Search()
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
     lost = 0
-    for k in range(0, 3000, 100):
-        items = [[word() for _ in range(30)] for _ in range(100)]
-        known = leakage.Items([(k + n, " ".join(item)) for n, item in enumerate(items)], search)
-        texts = [" ".join([word() for _ in range(60)] + [word() if n in (8, 16, 23) else w for n, w in enumerate(item)] + [word() for _ in range(60)]) for item in items]
-        found = leakage.search_batch(list(range(k, k + 100)), [folded(t) for t in texts], known)
-        assert all(a == b for a, b in found)
-        lost += 100 - len(found)
+    for _ in range(1500):
+        item = [word() for _ in range(30)]
+        ((_, words, chunk, codes, least),) = leakage.item_rows([1], [" ".join(item)], search)
+        likely = np.zeros(1 << 13, np.uint8)
+        at = codes.view(np.uint64) >> np.uint64(48)
+        np.bitwise_or.at(likely, (at >> np.uint64(3)).astype(int), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        text = " ".join([word() for _ in range(60)] + [word() if n in (8, 16, 23) else w for n, w in enumerate(item)] + [word() for _ in range(60)])
+        held = leakage.stretches([folded("nothing here"), folded(text)], likely, 16, search)
+        ok = [n for n, w in held if set(leakage.minima(leakage.shingles(w, 5), search.window).view(np.int64)) & set(least) and leakage.contained(w, words.view(np.uint64), chunk, search)]
+        lost += ok != [1]
     assert lost == 0
+
+
+def test_minima_of_shared_runs():
+    """Sequences with a run of ``window`` codes in common have a minimum in common."""
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        a, b, run = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (20, 20, 3))
+        a[5:8] = b[11:14] = run
+        assert set(leakage.minima(a, 3)) & set(leakage.minima(b, 3))
+    assert len(leakage.minima(np.arange(2, dtype=np.uint64), 3)) == 0

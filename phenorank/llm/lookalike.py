@@ -2,13 +2,14 @@
 
 Each token of a text is run through a trie of the known vocabulary by a weighted edit automaton: a look-alike or a
 character that isn't drawn costs nothing, any other difference costs its weight. A token within the budget gets the
-vocabulary's spelling; any other token is normalised by table, so that every text gets a defined spelling.
+vocabulary's spelling; any other token is normalised by table, so that every text gets a defined spelling. The two
+differ where a letter is drawn like either of two: the automaton follows both and the vocabulary decides, while the
+table can only ever say one. The budget is 0 by default, since texts that look different must stay different.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ DRAWN_ALIKE: list[tuple[str, str]] = [
     ("ԼՕՏՍ", "LOSU"),
     # Cherokee capital
     ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    # Lisu
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
     # Latin variants, and the two other capitals drawn like the crossed D
     ("ɑɡÐƉ", "agĐĐ"),
 ]
@@ -39,13 +42,15 @@ DRAWN_ALIKE: list[tuple[str, str]] = [
 MARKS_ALIKE = {"͂": "̃"}
 HYPHENS = "‐‑‒–−⁃˗֊᠆﹘﹣－➖"
 BLANK_LETTERS = "⠀ㅤﾠᅟᅠ"
-#: Palochka letters are drawn like an l as well as like an I.
-AMBIGUOUS = {"ӏ": ("l", "I"), "Ӏ": ("I", "l")}
+# Letters drawn like either of two plain ones. The table takes the first; which is meant, the vocabulary tells.
+AMBIGUOUS = {"ӏ": "lI", "Ӏ": "Il", "Ι": "Il", "І": "Il", "ǀ": "lI", "υ": "uv", "ʋ": "vu", "զ": "qg"}
 #: Compatibility forms that are drawn like what they stand for.
 SAME_SHAPE_TAGS = ("<wide>", "<narrow>", "<small>", "<noBreak>")
 SAME_SHAPE_RANGES = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0x01C4, 0x01CC), (0x0132, 0x0133), (0x2024, 0x2026))
 
-_LETTERS = {ord(a): b for many, plain in DRAWN_ALIKE for a, b in zip(many, plain, strict=True)}
+_LETTERS = {ord(a): b for many, plain in DRAWN_ALIKE for a, b in zip(many, plain, strict=True)} | {ord(a): b[0] for a, b in AMBIGUOUS.items()}
+#: Small capitals that are drawn like the small letter.
+_LETTERS |= {ord(unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {c.upper()}")): c for c in "covwz"}
 #: Text made of these alone, without blanks at an end or in a row, is already in its one spelling.
 _PLAIN = re.compile(r"[!-~À-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĐđĨĩŨũƠơƯưẠ-ỹ]+(?: [!-~À-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĐđĨĩŨũƠơƯưẠ-ỹ]+)*")
 _BLANKS = re.compile("[\\s" + BLANK_LETTERS + "]+")
@@ -124,7 +129,7 @@ class Trie:
         for raw in unicodedata.normalize("NFD", token):
             if not_drawn(raw):
                 continue
-            drawn = AMBIGUOUS.get(raw) or (_TABLE[ord(raw)] or "",)
+            drawn = AMBIGUOUS.get(raw) or (_TABLE[ord(raw)] or "",)  # one after the other, a state for each that goes on
             step: dict[int, tuple[float, dict]] = {}
 
             def reach(node: dict, cost: float, into: dict = step) -> None:
@@ -240,7 +245,3 @@ def same_when_shown(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def found(spark: SparkSession, mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
     return same_when_shown(mentions, catalogue)
-
-
-if sys.maxunicode < 0x10FFFF:  # pragma: no cover
-    raise ImportError("wide characters are needed")

@@ -45,6 +45,15 @@ def normalize_text(text: Column) -> Column:
     return F.pandas_udf(run, "string").asNondeterministic()(text)
 
 
+def nfc(text: Column) -> Column:
+    """Composed form, in Arrow batches; null stays null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
+
+
 def group_key(text: Column) -> Column:
     """Tokens of a-z and 0-9 without a leading 'tat', joined by blanks: the key that groups spellings of a phrase."""
     tokens = F.trim(F.regexp_replace(normalize_text(text), "[^a-z0-9]+", " "))
@@ -106,6 +115,7 @@ def log_sum_exp(values: Column) -> Column:
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
 
 
+# 80 and 10 of 100 hash buckets, and the pattern of a pseudonymous id below.
 def hash_bucket(key: Column, buckets: int = 100) -> Column:
     """The first 8 hex digits of a key's SHA-256, modulo ``buckets``."""
     return (F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")

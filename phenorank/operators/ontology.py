@@ -124,12 +124,6 @@ def organ_group(closed_terms: DataFrame, links: DataFrame, root: str) -> DataFra
     return closed_terms.join(F.broadcast(heads), "anc").groupBy("term").agg(F.min("anc").alias("group_id"))
 
 
-def top_group(closed_terms: DataFrame, links: DataFrame) -> DataFrame:
-    """``(term, group_id)`` in a forest: the smallest top at or above each term."""
-    tops = closed_terms.select("anc").distinct().join(links.select(F.col("child").alias("anc")).distinct(), "anc", "left_anti")
-    return closed_terms.join(tops, "anc").groupBy("term").agg(F.min("anc").alias("group_id"))
-
-
 def resolve_ids(ids: DataFrame, alias: DataFrame) -> DataFrame:
     """``ids`` with ``resolved``: the term each ``id`` means under ``alias(node, target)``; ids without an alias mean themselves."""
     return ids.join(alias, F.col("id") == F.col("node"), "left").select(*ids.columns, F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("target")).alias("resolved"))

@@ -12,18 +12,12 @@ from phenorank.functions.scalars import normalize_text
 from phenorank.session import broadcast_if_small
 
 # What marks a finding as suspected, and what ends its left context.
-SUSPECTED_CUES = r"theo dõi|nghi ngờ|nghi|t/d|td|k/n|r/o|poss|suspected|possible"
+SUSPECTED_CUES = r"1\s*phần|một\s*phần|1\s*phan|mot\s*phan|theo\s*dõi|theo\s*doi|t/d|td|nghi\s*ngờ|nghi\s*ngo|nghi"
 #: Different first words of phrases up to which places are picked by them before anything is joined.
 MOST_FIRSTS = 4096
 DELIMITERS = r"\-–—;\n/.,+"
 
 
-def words_at(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, pos, word)`` of the normalised text; whole texts."""
-    tokens = texts.where(F.col(column).isNotNull()).select(key, F.split(normalize_text(F.col(column)), " ").alias("__w"))
-    return tokens.select(key, F.posexplode("__w").alias("pos", "word")).where("word <> ''")
-
-
 def dictionary_scan(texts: DataFrame, lexicon: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, term, first, last)``: every place where a phrase of ``lexicon(term, phrase)`` stands as whole words.
 
@@ -70,10 +64,15 @@ def greedy_spans(spans: DataFrame, key: str) -> DataFrame:
 
 
 def cue_assertion(mention: Column, left: Column | None = None) -> Column:
-    """SUSPECTED where a cue stands in the mention, or left of it since the last delimiter; else PRESENT."""
-    pattern = rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{SUSPECTED_CUES})(?![\p{{L}}\p{{M}}\p{{N}}])"
-    context = F.regexp_extract(left, rf"[^{DELIMITERS}]*$", 0) if left is not None else F.lit("")
-    return F.when(mention.rlike(pattern) | context.rlike(pattern), "SUSPECTED").otherwise("PRESENT")
+    """``(status, cue, place)``: SUSPECTED with the cue that stands in the mention, or left of it since the last delimiter; else PRESENT.
+
+    ``place`` is 'mention' or 'context', null for PRESENT. Accents must be composed (``scalars.nfc``).
+    """
+    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({SUSPECTED_CUES})(?![\p{{L}}\p{{N}}_])"
+    inside = F.nullif(F.regexp_extract(mention, pattern, 1), F.lit(""))
+    before = F.nullif(F.regexp_extract(F.regexp_extract(left, rf"[^{DELIMITERS}]*$", 0), pattern, 1), F.lit("")) if left is not None else F.lit(None).cast("string")
+    cue = F.coalesce(inside, before)
+    return F.struct(F.when(cue.isNotNull(), "SUSPECTED").otherwise("PRESENT").alias("status"), cue.alias("cue"), F.when(inside.isNotNull(), "mention").when(before.isNotNull(), "context").alias("place"))
 
 
 def cautious_context(left: Column) -> Column:
@@ -82,34 +81,34 @@ def cautious_context(left: Column) -> Column:
     return F.coalesce(clause.rlike(r"(?iU)(?<!\w)(?:không|chưa|mẹ|cha|gia đình|tiền sử)(?!\w)"), F.lit(False))
 
 
-def gestational_weeks(text: Column) -> Column:
-    """All gestational ages of a text in weeks, within 10 to 45 weeks and 0 to 6 days, at three decimals."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:week|tuần|semaine)s? (\d{1,2}(?:\+\d)?)(?!\d)"), F.lit(1))
-    parts = F.transform(found, lambda x: F.split(x, r"\+"))
-    valid = F.filter(parts, lambda p: p[0].cast("int").between(10, 45) & F.coalesce(F.get(p, F.lit(1)).cast("int"), F.lit(0)).between(0, 6))
-    return F.transform(valid, lambda p: F.round(p[0].cast("int") + F.coalesce(F.get(p, F.lit(1)).cast("int"), F.lit(0)) / 7, 3))
-
-
-def measurements(text: Column, unit: str = "mm") -> Column:
-    """All numbers before a unit, as doubles."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(\d+(?:\.\d+)?) {unit}(?![a-z])"), F.lit(1)), lambda x: x.cast("double"))
-
-
 def catalog_search(queries: DataFrame, catalog: DataFrame, top: int = 20) -> DataFrame:
-    """``(query_id, id, score, rank)``: catalogue entries for each query, the best score per entry first.
+    """``(query_id, id, score, rank)``: catalogue entries for each query, the best score per entry first, ties by length of ``vi``, then id.
 
-    ``queries(query_id, query)``, ``catalog(id, name)``. Score 0: equal; 2: the query stands in the name as whole words;
-    3: every query word begins a name word. Candidates share the beginning (three characters) of the query's first word
-    with a name word, so no pair without a chance is built. Ties by length of the name, then id.
+    ``queries(query_id, query)``, ``catalog(id, vi, en, synonyms)``. Score -10: the query is the id; 0: it equals ``vi``;
+    1: ``en``; 2: it stands in ``vi`` as whole words; 3: each of its words begins a word of ``vi``; 4: it stands anywhere
+    in ``en``, or begins the id; 5: it stands anywhere in the synonyms. Empty queries find nothing. A query is joined with
+    the entries that hold its first three characters somewhere (fewer, if it has fewer), so no pair without a chance is built.
     """
-    q = queries.select("query_id", normalize_text(F.col("query")).alias("q")).where("q <> ''")
-    c = catalog.select("id", normalize_text(F.col("name")).alias("name")).where("name <> ''").distinct()
-    q = q.withColumn("__k", F.substring("q", 1, 3)).withColumn("__qw", F.split("q", " ")).withColumn("__k", F.substring(F.col("__qw")[0], 1, 3))
-    c = c.withColumn("__cw", F.split("name", " ")).withColumn("__k", F.explode(F.array_distinct(F.transform("__cw", lambda w: F.substring(w, 1, 3)))))
-    pairs = q.join(c, "__k")
-    prefix = F.forall("__qw", lambda x: F.exists("__cw", lambda y: y.startswith(x)))
-    score = F.when(F.col("q") == F.col("name"), 0).when(F.concat(F.lit(" "), "name", F.lit(" ")).contains(F.concat(F.lit(" "), "q", F.lit(" "))), 2).when(prefix, 3)
-    best = pairs.withColumn("score", score).where("score is not null").groupBy("query_id", "id").agg(F.min(F.struct("score", F.length("name").alias("len"))).alias("m"))
+    q = queries.select("query_id", F.upper(F.trim("query")).alias("asked"), normalize_text(F.col("query")).alias("q")).where("q <> ''")
+    text = lambda c: F.coalesce(normalize_text(F.col(c)), F.lit(""))
+    c = catalog.where("id is not null").select("id", text("vi").alias("vi"), text("en").alias("en"), text("synonyms").alias("syn")).distinct()
+    grams = lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length(x) + 1), lambda i: F.substring(x, i, n))))
+    keys = c.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(x)) for x in ("vi", "en", "syn")])))).alias("__k")).where("__k <> ''")
+    words = F.split("q", " ")
+    by_text = q.select("query_id", F.explode(F.array_distinct(F.array(F.substring("q", 1, 3), F.substring(words[0], 1, 3)))).alias("__k")).join(keys, "__k").select("query_id", "id")
+    by_id = q.select("query_id", "asked").join(c.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("id")), lambda n: F.substring("id", 1, n))).alias("asked")), "asked").select("query_id", "id")
+    pairs = by_text.unionByName(by_id).distinct().join(q, "query_id").join(c, "id")
+    prefix = F.forall(words, lambda x: F.exists(F.split("vi", " "), lambda y: y.startswith(x)))
+    score = (
+        F.when(F.col("id") == F.col("asked"), -10)
+        .when(F.col("q") == F.col("vi"), 0)
+        .when(F.col("q") == F.col("en"), 1)
+        .when(F.concat(F.lit(" "), "vi", F.lit(" ")).contains(F.concat(F.lit(" "), "q", F.lit(" "))), 2)
+        .when(prefix, 3)
+        .when(F.col("en").contains(F.col("q")) | F.col("id").startswith(F.col("asked")), 4)
+        .when(F.col("syn").contains(F.col("q")), 5)
+    )
+    best = pairs.withColumn("score", score).where("score is not null").groupBy("query_id", "id").agg(F.min(F.struct("score", F.length("vi").alias("len"))).alias("m"))
     w = Window.partitionBy("query_id").orderBy("m.score", "m.len", "id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "id", F.col("m.score").alias("score"), "rank")
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenorank.functions import scalars
 from phenorank.operators import annotations, hierarchy, observations, ontology, ranking
 from phenorank.session import shared_dir, table, written
 
@@ -29,6 +30,23 @@ def forget() -> None:
     _kept.clear()
 
 
+def registered(queries: dict[str, Callable], sqls: dict[str, str], sql: str | None) -> Callable:
+    """A decorator that puts a query into ``queries`` under its function's name, and its SQL counterpart into ``sqls``."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        queries[function.__name__] = function
+        if sql:
+            sqls[function.__name__] = sql
+        return function
+
+    return add
+
+
+def six(*names: str) -> list:
+    """Rounded to six decimals; a negative zero becomes zero."""
+    return [(F.round(n, 6) + 0.0).alias(n) for n in names]
+
+
 #: Fixed value: the root of the phenotype branch. It is accepted in observations and profiles, and never scored.
 ROOT = "HP:0000118"
 
@@ -96,6 +114,16 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.exploded(table(spark, sf_dir, "calibration_case"))
 
 
+def report_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mentions of a report as the observations of a case."""
+    m = table(spark, sf_dir, "phenotype_mention").where("report_id is not null and mention_id is not null")
+    return m.select(
+        F.col("report_id").alias("case_id"), F.col("mention_id").alias("ord"), scalars.normalize_term_id(F.col("hpo_id")).alias("term"), scalars.normalize_status(F.col("assertion")).alias("status"),
+        scalars.normalize_subject(F.col("subject")).alias("subject"), F.lit(None).cast("string").alias("reviewer_status"), "extraction_confidence", "linking_confidence",
+        F.col("certainty").alias("assertion_certainty"), "gestational_age_weeks",
+    ).distinct()
+
+
 def case_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "observations", lambda: observations.sanitized(raw_observations(spark, sf_dir), closed(spark, sf_dir), ROOT))
 
@@ -176,6 +204,20 @@ closed AS (
 
 NORMAL_ID = r"CASE WHEN regexp_matches(regexp_replace(replace(upper(trim({0})), '_', ':'), '^HP([0-9])', 'HP:\1'), '^HP:[0-9]{{7}}$') THEN regexp_replace(replace(upper(trim({0})), '_', ':'), '^HP([0-9])', 'HP:\1') END"
 
+#: A text as ``scalars.normalize_text`` makes it: compatibility letters that occur are spelled out, then accents go.
+NORMAL_TEXT = (
+    "trim(regexp_replace(strip_accents(nfc_normalize(lower(translate(replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ"
+    + "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    + "đĐ', 'ivxlcdmIVXLCDM"
+    + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    + "dD')))), '[^a-z0-9:+]+', ' ', 'g'))"
+)
+
+
+def normal_sql(column: str) -> str:
+    return NORMAL_TEXT.replace("{0}", column)
+
+
 FREQUENCY = """
 parsed AS (
   SELECT annotation_id, database_id, disease_name, qualifier, hpo_id, aspect, lower(trim(frequency_raw)) AS t FROM hpoa_annotation
@@ -277,6 +319,20 @@ clean AS (
 """
 )
 
+STATUS_SQL = """CASE WHEN regexp_replace(upper(trim({0})), '[-\\s]+', '_', 'g') IN ('PRESENT', 'CÓ', 'OBSERVED', 'POSITIVE') THEN 'PRESENT'
+  WHEN regexp_replace(upper(trim({0})), '[-\\s]+', '_', 'g') IN ('SUSPECTED', 'NGHI_NGỜ', 'POSSIBLE', 'UNCERTAIN') THEN 'SUSPECTED'
+  WHEN regexp_replace(upper(trim({0})), '[-\\s]+', '_', 'g') IN ('ABSENT', 'KHÔNG', 'NEGATED', 'NEGATIVE') THEN 'ABSENT'
+  WHEN regexp_replace(upper(trim({0})), '[-\\s]+', '_', 'g') IN ('NOT_ASSESSED', 'UNKNOWN', 'CHƯA_KHẢO_SÁT') THEN 'NOT_ASSESSED' END"""
+#: The mentions of a report as the observations of a case, and what follows for them.
+REPORTS = (
+    ", obs AS (SELECT DISTINCT report_id AS case_id, mention_id AS ord, "
+    + NORMAL_ID.format("hpo_id").replace("{{", "{").replace("}}", "}")
+    + " AS term, "
+    + STATUS_SQL.replace("{0}", "assertion")
+    + " AS status, NULL::VARCHAR AS reviewer_status, extraction_confidence, linking_confidence, certainty AS assertion_certainty, gestational_age_weeks FROM phenotype_mention WHERE report_id IS NOT NULL AND mention_id IS NOT NULL),\nmerged AS ("
+    + OBSERVATIONS.split("merged AS (")[1].split("sound AS (")[0].rstrip().rstrip(",")
+)
+
 SIMILARITY = """,
 targets AS (SELECT term FROM pos UNION SELECT term FROM neg),
 sources AS (SELECT DISTINCT term FROM clean),

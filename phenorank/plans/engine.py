@@ -18,19 +18,10 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable:
     """Register a query under its function's name, with its SQL counterpart."""
+    return base.registered(QUERIES, SQL, sql)
 
-    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[function.__name__] = function
-        if sql:
-            SQL[function.__name__] = sql
-        return function
 
-    return add
-
-
-def six(*names: str) -> list:
-    """Rounded to six decimals; a negative zero becomes zero."""
-    return [(F.round(n, 6) + 0.0).alias(n) for n in names]
+six = base.six
 
 
 @query(base.ONTOLOGY + "SELECT term, anc, dist FROM closed")
@@ -156,21 +147,23 @@ def observation_sanitise(spark, d):
 
 @query(
     base.ONTOLOGY
-    + base.OBSERVATIONS
+    + base.REPORTS
     + """, bad AS (
   SELECT case_id, ord, unnest([CASE WHEN term IS NULL THEN 'no term id' END, CASE WHEN status IS NULL THEN 'unknown status' END,
     CASE WHEN extraction_confidence NOT BETWEEN 0 AND 1 THEN 'extraction_confidence outside 0 to 1' END, CASE WHEN linking_confidence NOT BETWEEN 0 AND 1 THEN 'linking_confidence outside 0 to 1' END,
     CASE WHEN assertion_certainty NOT BETWEEN 0 AND 1 THEN 'assertion_certainty outside 0 to 1' END, CASE WHEN gestational_age_weeks NOT BETWEEN 0 AND 45 THEN 'gestational age outside 0 to 45' END]) AS problem FROM obs)
-SELECT * FROM bad WHERE problem IS NOT NULL"""
+SELECT DISTINCT * FROM bad WHERE problem IS NOT NULL"""
 )
 def observation_problems(spark, d):
-    return observations.problems(base.raw_observations(spark, d))
+    """What is wrong with the mentions, each report being a case (the calibration cases have no faulty observation)."""
+    return observations.problems(base.report_observations(spark, d)).distinct()
 
 
-@query(base.ONTOLOGY + base.OBSERVATIONS + "SELECT case_id, absent_term, present_term FROM clash")
+@query(base.ONTOLOGY + base.REPORTS + " SELECT case_id, absent_term, present_term FROM clash")
 def contradiction_check(spark, d):
-    known = base.nodes(spark, d).withColumnRenamed("hpo_id", "term")
-    return observations.contradictions(observations.merged(base.raw_observations(spark, d).join(known, "term", "left_semi")), base.closed(spark, d))
+    """Terms that a report both finds and excludes, itself or above what it finds."""
+    known = base.nodes(spark, d).where(F.col("hpo_id") != base.ROOT).withColumnRenamed("hpo_id", "term")
+    return observations.contradictions(observations.merged(base.report_observations(spark, d).join(known, "term", "left_semi")), base.closed(spark, d))
 
 
 @query(base.ONTOLOGY + base.OBSERVATIONS + "SELECT case_id, term, status, conflict, mention_count FROM merged")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenorank.functions import scalars
-from phenorank.operators import metrics, ranking, review, splits, text
+from phenorank.operators import clauses, metrics, ranking, review, splits, text
 from phenorank.plans import base
 from phenorank.session import table
 
@@ -17,18 +17,11 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable:
-    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[function.__name__] = function
-        if sql:
-            SQL[function.__name__] = sql
-        return function
+    """Register a query under its function's name, with its SQL counterpart."""
+    return base.registered(QUERIES, SQL, sql)
 
-    return add
 
-
-def six(*names: str) -> list:
-    """Rounded to six decimals; a negative zero becomes zero."""
-    return [(F.round(n, 6) + 0.0).alias(n) for n in names]
+six = base.six
 
 
 def _golds(spark: SparkSession, d: str) -> DataFrame:
@@ -123,28 +116,86 @@ def mention_prf(spark, d):
     return metrics.multiset_prf(m.select("report_id", "hpo_id"), predicted, ["report_id", "hpo_id"]).select("tp", "fp", "fn", *six("precision", "recall", "f1"))
 
 
-_CUE = r"(?i)(?:^|[^\p{L}\p{M}\p{N}])(?:theo dõi|nghi ngờ|nghi|t/d|td|k/n|r/o|poss|suspected|possible)(?:$|[^\p{L}\p{M}\p{N}])"
-_STATUS = "CASE WHEN upper(trim(assertion)) = 'PRESENT' THEN 'PRESENT' WHEN upper(trim(assertion)) = 'SUSPECTED' THEN 'SUSPECTED' WHEN upper(trim(assertion)) = 'ABSENT' THEN 'ABSENT' WHEN upper(trim(assertion)) = 'NOT_ASSESSED' THEN 'NOT_ASSESSED' END"
+_CUE = r"(?i)(?:^|[^\p{L}\p{N}_])(1\s*phần|một\s*phần|1\s*phan|mot\s*phan|theo\s*dõi|theo\s*doi|t/d|td|nghi\s*ngờ|nghi\s*ngo|nghi)(?:$|[^\p{L}\p{N}_])"
+_CUED = f"cued AS (SELECT mention_id, assertion, nullif(regexp_extract(nfc_normalize(mention_text), '{_CUE}', 1), '') AS cue FROM phenotype_mention WHERE mention_text IS NOT NULL)"
+_STATUS = base.STATUS_SQL.replace("{0}", "assertion")
+
 
+def _cued(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "phenotype_mention").where("mention_text is not null").select("mention_id", "assertion", scalars.nfc(F.col("mention_text")).alias("t"))
+    return m.select("mention_id", "assertion", text.cue_assertion(F.col("t")).alias("c"))
 
-@query(f"SELECT mention_id, CASE WHEN regexp_matches(mention_text, '{_CUE}') THEN 'SUSPECTED' ELSE 'PRESENT' END AS status, count(*) AS n FROM phenotype_mention WHERE mention_text IS NOT NULL GROUP BY ALL")
+
+@query(f"WITH {_CUED} SELECT mention_id, CASE WHEN cue IS NULL THEN 'PRESENT' ELSE 'SUSPECTED' END AS status, cue, CASE WHEN cue IS NOT NULL THEN 'mention' END AS place, count(*) AS n FROM cued GROUP BY ALL")
 def assertion_cues(spark, d):
-    m = table(spark, d, "phenotype_mention").where("mention_text is not null")
-    return m.groupBy("mention_id", text.cue_assertion(F.col("mention_text")).alias("status")).agg(F.count("*").alias("n"))
+    """Status of each mention by the cues in it, with the cue."""
+    return _cued(spark, d).groupBy("mention_id", "c.status", "c.cue", "c.place").agg(F.count("*").alias("n"))
 
 
 @query(
-    f"""WITH pairs AS (SELECT {_STATUS} AS gold, CASE WHEN regexp_matches(mention_text, '{_CUE}') THEN 'SUSPECTED' ELSE 'PRESENT' END AS predicted FROM phenotype_mention WHERE mention_text IS NOT NULL),
+    f"""WITH {_CUED}, pairs AS (SELECT {_STATUS} AS gold, CASE WHEN cue IS NULL THEN 'PRESENT' ELSE 'SUSPECTED' END AS predicted FROM cued),
 g AS (SELECT gold AS label, sum((predicted = gold)::INT) AS tp, count(*) AS g FROM pairs WHERE gold IS NOT NULL GROUP BY 1), p AS (SELECT predicted AS label, count(*) AS p FROM pairs GROUP BY 1)
 SELECT coalesce(g.label, p.label) AS label, coalesce(tp, 0)::BIGINT AS tp, (coalesce(p, 0) - coalesce(tp, 0))::BIGINT AS fp, (coalesce(g, 0) - coalesce(tp, 0))::BIGINT AS fn, round(coalesce(2.0 * tp / (g + coalesce(p, 0)), 0), 6) AS f1
 FROM g FULL JOIN p ON p.label = g.label"""
 )
 def assertion_label_f1(spark, d):
-    m = table(spark, d, "phenotype_mention").where("mention_text is not null")
-    pairs = m.select(scalars.normalize_status(F.col("assertion")).alias("gold"), text.cue_assertion(F.col("mention_text")).alias("predicted"))
+    pairs = _cued(spark, d).select(scalars.normalize_status(F.col("assertion")).alias("gold"), F.col("c.status").alias("predicted"))
     return metrics.label_f1(pairs).select("label", "tp", "fp", "fn", *six("f1"))
 
 
+def _case_sql(column: str, rules: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({column}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in rules.items()) + " END"
+
+
+_TRIGGERS = ", ".join(f"('{status}', '{phrase}', {k}, {n})" for n, (k, status, phrase) in enumerate((k, status, p) for k, (status, phrases) in enumerate(clauses.ASSERTIONS) for p in phrases))
+_WHO = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(padded, {chr(39)} {w} {chr(39)})' for w in words)} THEN '{who}/{rule}'" for who, rule, words in clauses.SUBJECTS) + f" ELSE '{'/'.join(clauses.DEFAULT_SUBJECT)}' END"
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT mention_id, {base.normal_sql('mention_text')} AS n FROM phenotype_mention WHERE mention_text IS NOT NULL),
+p AS (SELECT *, ' ' || n || ' ' AS padded, row_number() OVER () AS r FROM m),
+triggers(status, phrase, priority, place) AS (VALUES {_TRIGGERS}),
+said AS (SELECT r, arg_max(struct_pack(status := t.status, phrase := t.phrase), [len(string_split(phrase, ' ')), length(phrase), -priority, -place]) AS t FROM p JOIN triggers t ON contains(padded, ' ' || phrase || ' ') GROUP BY r)
+SELECT mention_id, n AS normal, coalesce(t.status, 'PRESENT') AS status, t.phrase AS trigger, split_part({_WHO}, '/', 1) AS subject, split_part({_WHO}, '/', 2) AS rule,
+  {_case_sql('n', clauses.LATERALITY)} AS laterality, {_case_sql('n', clauses.SEVERITY)} AS severity, {_case_sql('n', clauses.DISTRIBUTION)} AS distribution, {_case_sql('n', clauses.PROGRESSION)} AS progression
+FROM p LEFT JOIN said ON said.r = p.r"""
+)
+def mention_attributes(spark, d):
+    """What each mention's text says of status, subject, side, severity, distribution and progression."""
+    m = table(spark, d, "phenotype_mention").where("mention_text is not null").select("mention_id", scalars.normalize_text(F.col("mention_text")).alias("normal")).distinct()
+    n = F.col("normal")
+    rows = m.select("mention_id", "normal", clauses.assertion(n).alias("a"), clauses.subject(n).alias("s"), clauses.laterality(n).alias("laterality"), clauses.severity(n).alias("severity"), clauses.distribution(n).alias("distribution"), clauses.progression(n).alias("progression"))
+    return rows.select("mention_id", "normal", "a.status", "a.trigger", "s.subject", "s.rule", "laterality", "severity", "distribution", "progression")
+
+
+@query(
+    f"""WITH c AS (SELECT mention_id, list_sort(list(score), 'DESC') AS scores FROM hpo_candidate WHERE mention_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1),
+m AS (SELECT DISTINCT mention_id, {_STATUS} AS status FROM phenotype_mention WHERE mention_id IS NOT NULL),
+j AS (SELECT m.mention_id, m.status, coalesce(scores[1], 0) AS top, coalesce(abs(scores[1] - scores[2]) < 0.05, false) AS ambiguous, coalesce(len(scores), 0) AS n FROM m LEFT JOIN c ON c.mention_id = m.mention_id),
+a AS (SELECT *, n = 0 OR top < 0.55 OR ambiguous AS abstained FROM j)
+SELECT mention_id, status, abstained, ambiguous, abstained OR top < 0.85 OR coalesce(status, '') <> 'PRESENT' AS needs_review FROM a"""
+)
+def link_decision(spark, d):
+    """Whether the retriever's candidates link a mention, are ambiguous, or need a review."""
+    c = table(spark, d, "hpo_candidate").where("mention_id is not null and score is not null and not isnan(score)").groupBy("mention_id").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))
+    m = table(spark, d, "phenotype_mention").where("mention_id is not null").select("mention_id", scalars.normalize_status(F.col("assertion")).alias("status")).distinct()
+    rows = m.join(c, "mention_id", "left").select("mention_id", "status", clauses.link_decision(F.col("scores"), F.col("status")).alias("x"))
+    return rows.select("mention_id", "status", "x.abstained", "x.ambiguous", "x.needs_review")
+
+
+@query()
+def rule_mentions(spark, d):
+    """Catalogue phrases in whole documents with clause, status, subject and attributes (checked by brute force in the tests)."""
+    cat = table(spark, d, "hpo_catalog_vi").select("id", F.explode(F.array_compact(F.flatten(F.array(F.array("vi", "en"), F.coalesce(F.split("synonyms", "[|]"), F.array()))))).alias("phrase"))
+    found = clauses.phrase_mentions(table(spark, d, "documents").where("doc_id is not null"), cat.select(F.col("id").alias("term"), "phrase"), "doc_id", "text")
+    n = F.col("normal")
+    rows = found.withColumn("normal", scalars.normalize_text(F.col("clause"))).withColumn("cue", text.cue_assertion(scalars.nfc(F.col("mention")), scalars.nfc(F.col("before"))))
+    return rows.select(
+        "doc_id", "start", "end", "mention", F.array_join("terms", ",").alias("terms"), clauses.assertion(n)["status"].alias("status"), F.col("cue.status").alias("cue_status"), text.cautious_context(F.col("before")).alias("cautious"),
+        clauses.subject(n)["subject"].alias("subject"), clauses.laterality(n).alias("laterality"), clauses.severity(n).alias("severity"), F.to_json(clauses.measurement_map(F.col("clause"))).alias("measurements"),
+    )
+
+
 _SPANS = """WITH s AS (SELECT DISTINCT mention_id AS id, report_id, span_start, span_end, lower(trim(assertion)) = 'present' AS found FROM phenotype_mention WHERE report_id IS NOT NULL AND mention_id IS NOT NULL AND span_end > span_start)
 """
 
@@ -160,29 +211,23 @@ def span_overlap_edges(spark, d):
     return _edges(spark, d).groupBy("report_id").agg(F.count("*").alias("n_edges"))
 
 
-@query(
-    "SELECT DISTINCT mention_id, trim(regexp_replace(strip_accents(lower(translate(mention_text, 'đĐ', 'dD'))), '[^a-z0-9:+]+', ' ', 'g')) AS normal FROM phenotype_mention WHERE regexp_matches(mention_text, '^[ -~À-ỹ]*$')"
-)
+@query(f"SELECT DISTINCT mention_id, {base.normal_sql('mention_text')} AS normal FROM phenotype_mention WHERE mention_text IS NOT NULL")
 def normalise_text(spark, d):
-    """All mentions (checked by brute force in the tests; the SQL has only those in composed Latin letters)."""
     m = table(spark, d, "phenotype_mention").where("mention_text is not null")
     return m.select("mention_id", scalars.normalize_text(F.col("mention_text")).alias("normal")).distinct()
 
 
-_NORMAL = "trim(regexp_replace(strip_accents(lower(translate({0}, 'đĐ', 'dD'))), '[^a-z0-9:+]+', ' ', 'g'))"
-
-
 def _lexicon(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hpo_catalog_vi").where("en is not null").select(F.col("id").alias("term"), F.col("en").alias("phrase"))
 
 
 @query(
-    f"""WITH l AS (SELECT DISTINCT id AS term, {_NORMAL.format('en')} AS phrase FROM hpo_catalog_vi WHERE en IS NOT NULL),
-t AS (SELECT doc_id, ' ' || {_NORMAL.format('text')} || ' ' AS body FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7e]*$'))
+    f"""WITH l AS (SELECT DISTINCT id AS term, {base.normal_sql('en')} AS phrase FROM hpo_catalog_vi WHERE en IS NOT NULL),
+t AS (SELECT doc_id, ' ' || {base.normal_sql('text')} || ' ' AS body FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT doc_id, term FROM t JOIN l ON phrase <> '' AND contains(body, ' ' || phrase || ' ')"""
 )
 def dictionary_scan(spark, d):
-    """Catalogue names in all documents (checked by brute force in the tests; the SQL has only those in plain ASCII)."""
+    """Catalogue names in all documents."""
     return text.dictionary_scan(table(spark, d, "documents"), _lexicon(spark, d), "doc_id", "text").select("doc_id", "term").distinct()
 
 
@@ -206,40 +251,55 @@ def bipartite_match(spark, d):
     return text.matched_spans(edges, "island")
 
 
+def _ages_sql(pattern: str) -> str:
+    zipped = f"list_zip(regexp_extract_all(n, '{pattern}', 1), regexp_extract_all(n, '{pattern}', 2))"
+    parsed = f"list_transform({zipped}, lambda x: [x[1]::INT, coalesce(try_cast(nullif(x[2], '') AS INT), 0)])"
+    return f"list_filter({parsed}, lambda x: x[1] BETWEEN 10 AND 45 AND x[2] BETWEEN 0 AND 6)[1]"
+
+
 @query(
-    """WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?i)(?:week|tuần|semaine)s? ([0-9]{1,2}(?:\\+[0-9])?)(?:[^0-9]|$)', 1) AS found FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, unnest([CASE WHEN split_part(x, '+', 1)::INT BETWEEN 10 AND 45 AND coalesce(try_cast(nullif(split_part(x, '+', 2), '') AS INT), 0) <= 6
-  THEN round(split_part(x, '+', 1)::INT + coalesce(try_cast(nullif(split_part(x, '+', 2), '') AS INT), 0) / 7, 3) END FOR x IN found]) AS weeks FROM f)
-SELECT doc_id, count(*) AS n, min(weeks) AS least, max(weeks) AS most FROM v WHERE weeks IS NOT NULL GROUP BY doc_id"""
+    f"""WITH t AS (SELECT doc_id, {base.normal_sql('text')} AS n FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, coalesce({_ages_sql('(?:^|[^0-9])([0-9]{1,2}) *tuan(?: *([0-9]) *ngay)?\\b')}, {_ages_sql('(?:^|[^0-9])([0-9]{1,2}) *w(?: *[+]? *([0-9]) *d?)?\\b')}) AS x FROM t)
+SELECT doc_id, round(x[1] + x[2] / 7, 3) AS weeks FROM f WHERE x IS NOT NULL"""
 )
 def gestational_age(spark, d):
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(text.gestational_weeks(F.col("text"))).alias("weeks"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("weeks").alias("least"), F.max("weeks").alias("most"))
+    """The first gestational age that each document states, in weeks."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", scalars.normalize_text(F.col("text")).alias("n"))
+    return t.select("doc_id", clauses.gestational_age(F.col("n")).alias("weeks")).where("weeks is not null")
 
 
 @query(
-    """WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?) mm(?:[^a-z]|$)', 1))::DOUBLE AS mm FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, count(*) AS n, round(sum(mm), 6) AS total, max(mm) AS most FROM v GROUP BY doc_id"""
+    " UNION ALL ".join(
+        f"SELECT * FROM (SELECT doc_id, '{name}' AS measure, try_cast(replace(regexp_extract(text, '(?i)(?:^|[^0-9])([0-9]+(?:[.,][0-9]+)?)[\\s\\p{{Z}}]*{unit}[\\s\\p{{Z}}]*(?:$|[^\\p{{L}}\\p{{N}}_])', 1), ',', '.') AS DOUBLE) AS value FROM documents WHERE text IS NOT NULL) WHERE value IS NOT NULL"
+        for unit, name in clauses.MEASURES.items()
+    )
 )
 def measurement_extract(spark, d):
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(text.measurements(F.col("text"))).alias("mm"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("mm"), 6).alias("total"), F.max("mm").alias("most"))
+    """The first measurement of each kind in each document."""
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", F.explode(clauses.measurement_map(F.col("text"))).alias("measure", "value"))
+
+
+_ASKED = "WITH asked AS (SELECT id || '/where' AS query_id, regexp_extract(lower(en), ' of the ([a-z ]+)$', 1) AS query FROM hpo_catalog_vi UNION ALL SELECT id || '/what', array_to_string(string_split(vi, ' ')[1:2], ' ') FROM hpo_catalog_vi UNION ALL SELECT id || '/id', lower(id) FROM hpo_catalog_vi)"
 
 
 @query(
-    f"""WITH q AS (SELECT code AS query_id, {_NORMAL.format('vi')} AS q FROM (SELECT id AS code, regexp_extract(lower(en), ' of the ([a-z ]+)$', 1) AS vi FROM hpo_catalog_vi)),
-c AS (SELECT DISTINCT id, {_NORMAL.format('en')} AS name FROM hpo_catalog_vi WHERE en IS NOT NULL),
-p AS (SELECT query_id, id, length(name) AS len, CASE WHEN q = name THEN 0 WHEN contains(' ' || name || ' ', ' ' || q || ' ') THEN 2
-  WHEN len(list_filter(string_split(q, ' '), lambda x: len(list_filter(string_split(name, ' '), lambda y: starts_with(y, x))) = 0)) = 0 THEN 3 END AS score FROM q JOIN c ON q <> '' AND name <> ''),
-m AS (SELECT query_id, id, min(score) AS score, min(len) AS len FROM p WHERE score IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, len, id) AS rank FROM m)
-SELECT query_id, id, score, rank FROM r WHERE rank <= 20"""
+    f"""{_ASKED},
+q AS (SELECT query_id, upper(trim(query)) AS asked, {base.normal_sql('query')} AS q FROM asked WHERE query IS NOT NULL),
+dq AS (SELECT DISTINCT asked, q FROM q WHERE q <> ''),
+c AS (SELECT DISTINCT id, coalesce({base.normal_sql('vi')}, '') AS vi, coalesce({base.normal_sql('en')}, '') AS en, coalesce({base.normal_sql('synonyms')}, '') AS syn FROM hpo_catalog_vi WHERE id IS NOT NULL),
+p AS (SELECT asked, q, id, length(vi) AS len, CASE WHEN id = asked THEN -10 WHEN q = vi THEN 0 WHEN q = en THEN 1 WHEN contains(' ' || vi || ' ', ' ' || q || ' ') THEN 2
+  WHEN len(list_filter(string_split(q, ' '), lambda x: NOT starts_with(vi, x) AND NOT contains(vi, ' ' || x))) = 0 THEN 3 WHEN contains(en, q) OR starts_with(id, asked) THEN 4 WHEN contains(syn, q) THEN 5 END AS score FROM dq CROSS JOIN c),
+m AS (SELECT asked, q, id, min(score) AS score, min(len) AS len FROM p WHERE score IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked, q ORDER BY score, len, id) AS rank FROM m)
+SELECT query_id, id, score, rank FROM r JOIN q ON q.asked = r.asked AND q.q = r.q WHERE rank <= 20"""
 )
 def catalog_search(spark, d):
-    """The catalogue searched for the place that each entry's English name ends with."""
+    """The catalogue searched for each entry's place in English, the first two words of its Vietnamese name, and its id."""
     cat = table(spark, d, "hpo_catalog_vi")
-    queries = cat.select(F.col("id").alias("query_id"), F.regexp_extract(F.lower("en"), r" of the ([a-z ]+)$", 1).alias("query"))
-    return text.catalog_search(queries, cat.where("en is not null").select("id", F.col("en").alias("name")))
+    ask = lambda kind, query: cat.select(F.concat("id", F.lit(f"/{kind}")).alias("query_id"), query.alias("query"))
+    queries = ask("where", F.regexp_extract(F.lower("en"), r" of the ([a-z ]+)$", 1)).unionByName(ask("what", F.array_join(F.slice(F.split("vi", " "), 1, 2), " "))).unionByName(ask("id", F.lower("id")))
+    return text.catalog_search(queries, cat)
 
 
 _SHEET = f"""WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY received_at DESC NULLS LAST, mention_text, span_end) AS n FROM phenotype_mention WHERE mention_id IS NOT NULL) WHERE n = 1),

@@ -76,9 +76,6 @@ def test_text_functions(spark):
     assert one("Đầu NHỎ, x2!", scalars.normalize_text) == "dau nho x2"
     assert one("Tật đầu nhỏ", scalars.group_key) == "dau nho"
     assert one("hp_1234567", scalars.normalize_term_id) == "HP:1234567" and one("HP12", scalars.normalize_term_id) is None
-    assert one("THEO DÕI giãn", text.cue_assertion) == "SUSPECTED" and one("td", text.cue_assertion) == "SUSPECTED" and one("tddx", text.cue_assertion) == "PRESENT"
-    assert one("at week 12+3, week 50, tuần 20+7 and week 9", text.gestational_weeks) == [12.429]
-    assert one("3.5 mm and 4 mm, 5 mmol", text.measurements) == [3.5, 4.0]
     assert one("mẹ có, chưa thấy", text.cautious_context) is True and one("mẹ. rõ", text.cautious_context) is False
     assert one("ab@c.de", scalars.identifier_hint) and not one("week 12", scalars.identifier_hint)
     assert one("Case_1", scalars.pseudonymous) and not one("A123456789", scalars.pseudonymous)

@@ -92,9 +92,11 @@ def holds(doc: np.ndarray, item: np.ndarray, chunk: np.ndarray, search: Search)
     return False
 
 
-def contained(stretch: np.ndarray, item: np.ndarray, chunk: np.ndarray, search: Search) -> bool:
-    """Exact shingle containment, then alignment: whether ``stretch`` of a document has a passage of ``item``."""
-    places = np.flatnonzero(np.isin(shingles(stretch, search.shingle), shingles(item, search.shingle)))
+def contained(stretch: np.ndarray, codes: np.ndarray, item: np.ndarray, item_codes: np.ndarray, chunk: np.ndarray, search: Search) -> bool:
+    """Exact shingle containment, then alignment: whether ``stretch`` of a document has a passage of ``item``; ``item_codes`` are sorted."""
+    at = np.searchsorted(item_codes, codes)
+    at[at == len(item_codes)] = 0
+    places = np.flatnonzero(item_codes[at] == codes)
     if len(places) < search.least_shingles:
         return False
     if (np.searchsorted(places, places + search.reach) - np.arange(len(places))).max() < search.least_shingles:
@@ -223,10 +225,19 @@ def leaked(documents: DataFrame, items: DataFrame, search: Search = Search(), ch
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (flat, ends), (item_flat, item_ends), (chunks, chunk_ends) = ((np.asarray(c.values), np.asarray(c.offsets)) for c in (batch.column(k) for k in (2, 3, 4)))
+            flat, item_flat = flat.view(np.uint64), item_flat.view(np.uint64)
+            codes = shingles(flat, search.shingle)
+            sorted_codes: dict[bytes, np.ndarray] = {}  # items stand together: each is prepared once a batch
             rows = []
             for k in range(batch.num_rows):
-                words, item, chunk = (np.asarray(batch.column(c)[k].values) for c in (2, 3, 4))
-                if contained(words.view(np.uint64), item.view(np.uint64), chunk, search):
+                a, b = item_ends[k], item_ends[k + 1]
+                item = item_flat[a:b]
+                own = sorted_codes.get(key := item.tobytes())
+                if own is None:
+                    own = sorted_codes[key] = np.sort(shingles(item, search.shingle))
+                low, high = ends[k], ends[k + 1]
+                if contained(flat[low:high], codes[low : max(low, high - search.shingle + 1)], item, own, chunks[chunk_ends[k] : chunk_ends[k + 1]], search):
                     rows.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)], ["stretch", "item_id"])
 

@@ -48,14 +48,15 @@ UNIT = (
     r"%|percent|per cent|pct|phần trăm|pour cent|per hundred thousand|per hundred|‰|permille|per mille|pro mille|pour mille"
     r"|per thousand|phần nghìn|phần ngàn|‱|per ten thousand|per 10k|phần vạn|ppm|parts per million|per million|phần triệu"
 )
-#: A longer text is prose, not a quantity.
-LONGEST = 400
 ABOUT = r"^(?:~|≈|about|around|roughly|approx\.?|approximately|circa|ca\.|c\.|khoảng|xấp xỉ|chừng|gần|environ|env\.) ?"
 RANGE = rf"^(?:from |between |từ |de |entre )?({NUMBER}) ?({UNIT})? ?(?:-|–|—|−|to|and|đến|tới|à|et) ?({NUMBER}) ?({UNIT})?$"
 RATIO = (
     rf"^(?:n ?= ?)?({NUMBER}) ?(?:\p{{L}}+ )?(?:/|out of|of|in|among|amongst|per|sur|parmi|trên tổng|trên|trong số|trong|từ) ?"
     rf"(?:n ?= ?)?({NUMBER})(?: \p{{L}}+)?$"
 )
+#: Without one of these a text is no range, or no ratio: looked for before the expression is tried.
+RANGE_SIGNS = ["-", "–", "—", "−", "to", "and", "đến", "tới", "à", "et"]
+RATIO_SIGNS = ["/", "of", "in", "among", "per", "sur", "parmi", "tr", "từ"]
 SINGLE = rf"^({NUMBER}) ?({UNIT})?$"
 
 
@@ -70,15 +71,19 @@ def _pattern(regex: str) -> str:
     return "'" + regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-#: Of a number's text ``x``: its value with the comma, or the last of two kinds of mark, as decimal mark.
-_DECIMAL = (
-    "try_cast(case when x rlike '[.].*,' then replace(replace(x, '.', ''), ',', '.')"
-    " when x rlike ',.*[.,]' then replace(x, ',', '')"
-    " when x rlike '[.].*[.]' then replace(x, '.', '') else replace(x, ',', '.') end as double)"
-)
-#: Its value with commas as thousands marks, null where they can't be; and as a whole, where any mark is one.
-_THOUSANDS = "case when x rlike '^[1-9][0-9]{0,2}(,[0-9]{3})+$' then try_cast(replace(x, ',', '') as double) end"
-_WHOLE = "case when x rlike '^[1-9][0-9]{0,2}([.,][0-9]{3})+$' then try_cast(regexp_replace(x, '[.,]', '') as double) end"
+def _number(x: str) -> str:
+    """Of a number's text: ``decimal``, its value with the comma, or the last of two kinds of mark, as decimal mark;
+    ``thousands``, with commas as thousands marks, null where they can't be; ``whole``, where any mark is one. Null for no text."""
+    struct = "named_struct('decimal', {0}, 'thousands', {1}, 'whole', {2})"
+    none = "cast(null as double)"
+    decimal = (
+        f"try_cast(case when {x} rlike '[.].*,' then replace(replace({x}, '.', ''), ',', '.') when {x} rlike ',.*[.,]' then replace({x}, ',', '')"
+        f" when {x} rlike '[.].*[.]' then replace({x}, '.', '') else replace({x}, ',', '.') end as double)"
+    )
+    thousands = f"case when {x} rlike '^[1-9][0-9]{{0,2}}(,[0-9]{{3}})+$' then try_cast(replace({x}, ',', '') as double) end"
+    whole = f"case when {x} rlike '^[1-9][0-9]{{0,2}}([.,][0-9]{{3}})+$' then try_cast(regexp_replace({x}, '[.,]', '') as double) end"
+    plain = struct.format(f"try_cast({x} as double)", none, none)
+    return f"case when {x} = '' then null when instr({x}, ',') = 0 and instr({x}, '.') = 0 then {plain} else {struct.format(decimal, thousands, whole)} end"
 
 
 def _share(number: str, factor: str, offset: str = "0D") -> str:
@@ -92,8 +97,7 @@ def common_share(df: DataFrame, categories: DataFrame, raw: str = "frequency_raw
     Classes take their value from ``categories`` (code, label, label_vi, share_ppm; fixed and small). A unit or total
     in the text wins over ``kind``; a bare number takes the unit named by ``kind``, and without one a number up to 1
     is a share and a larger one a percentage. Ranges stand for their middle, approximate values for themselves.
-    Null, empty, bounds, zero totals and words without a value give null, and so does prose of more than ``LONGEST``
-    characters; shares above the whole give 1000000.
+    Null, empty, bounds, zero totals, words without a value and prose give null; shares above the whole give 1000000.
     Rows are kept as they are, repeated ones included; ``out`` replaces a column of that name.
     """
     spark = df.sparkSession
@@ -102,10 +106,14 @@ def common_share(df: DataFrame, categories: DataFrame, raw: str = "frequency_raw
     t = base.withColumn("__t", F.expr(f"regexp_replace({_normal(f'`{raw}`')}, {_pattern(ABOUT)}, '')"))
     t = t.withColumn("__kind", F.expr(_normal(f"`{kind}`")))
     # one match per form: its groups are put side by side and split again; what doesn't match has no groups
-    for name, regex, groups in (("__r", RANGE, 4), ("__q", RATIO, 2), ("__s", SINGLE, 2)):
+    has = lambda signs: "(" + " or ".join(f"contains(__t, '{sign}')" for sign in signs) + ")"
+    t = t.withColumn("__d", F.expr("__t rlike '[0-9]'"))
+    # each form is tried only on what can have it and has none of the forms before
+    tried = (("__r", RANGE, 4, has(RANGE_SIGNS)), ("__q", RATIO, 2, f"{has(RATIO_SIGNS)} and coalesce(size(__r), 0) < 5"), ("__s", SINGLE, 2, "coalesce(size(__r), 0) < 5 and coalesce(size(__q), 0) < 3"))
+    for name, regex, groups, where in tried:
         marked = "concat('\\u0001', " + ", '\\u0001', ".join(f"'${k}'" for k in range(1, groups + 1)) + ")"
-        t = t.withColumn(name, F.expr(f"case when __t rlike '[0-9]' and length(__t) <= {LONGEST} then split(regexp_replace(__t, {_pattern(regex)}, {marked}), '\\u0001') end"))
-    group = lambda name, k, n: f"if(size({name}) = {n + 1}, {name}[{k}], '')"
+        t = t.withColumn(name, F.expr(f"case when __d and {where} then split(regexp_replace(__t, {_pattern(regex)}, {marked}), '\\u0001') end"))
+    group = lambda name, k, n: f"if(coalesce(size({name}), 0) = {n + 1}, {name}[{k}], '')"
     parts = {
         "__ra": group("__r", 1, 4),
         "__ru": group("__r", 2, 4),
@@ -135,9 +143,8 @@ def common_share(df: DataFrame, categories: DataFrame, raw: str = "frequency_raw
     t = t.join(F.broadcast(text_unit), F.col("__alias") == F.col("__ta"), "left")
     t = t.join(F.broadcast(kind_unit), F.col("__kind") == F.col("__ka"), "left")
 
-    numbers = f"transform(transform(array(__ra, __rb, __qa, __qb, __sa), y -> replace(y, ' ', '')), x -> named_struct('decimal', {_DECIMAL}, 'thousands', {_THOUSANDS}, 'whole', {_WHOLE}))"
-    t = t.withColumn("__n", F.expr(numbers))
-    t = t.withColumns({f"__n{k}": F.expr(f"__n[{k}]") for k in range(5)})
+    t = t.withColumns({f"__x{k}": F.expr(f"replace({c}, ' ', '')") for k, c in enumerate(("__ra", "__rb", "__qa", "__qb", "__sa"))})
+    t = t.withColumns({f"__n{k}": F.expr(_number(f"__x{k}")) for k in range(5)})
     t = t.withColumns(
         {
             "__f": F.expr("coalesce(__tf, __kf, case when coalesce(if(__rb <> '', __n1.decimal, __n4.decimal), 0D) <= 1 then 1D else 0.01D end)"),

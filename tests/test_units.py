@@ -13,6 +13,7 @@ CASES = [
     ("5.00e-01", "numeric", 500000), ("1,234", "ppm", 1234), ("1,234", None, 12340), ("150%", None, 1000000), ("<5%", "percent", None), ("dưới 5%", None, None), ("at most 10 %", None, None), ("inf", "numeric", None),
     ("several", "percent", None), ("", "percent", None), (" ", None, None), (None, "percent", None), ("hp:0040281", None, 900000), ("Frequent (HP:0040282)", "percent", 545000), ("Very  frequent ", None, 900000),
     ("LOẠI TRỪ", None, 0), ("HP:0040299", None, None), ("x" * 50000, None, None), ("9" * 400, None, 1000000),
+    ("1 000 " * 20_000, None, None), ("12-" * 30_000, None, None), ("1" + ",000" * 20_000 + "%", None, 1000000), ("word to and of " * 5_000 + "5%", None, None),
 ]
 
 

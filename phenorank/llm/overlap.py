@@ -3,8 +3,8 @@
 A record is the set of its features. Its fingerprint has a number of segments; each feature falls into one of them
 and flips its hash's bits there, so a segment's code block is the parity of the features in it. Two sets that differ
 in ``r`` features differ in at most ``r`` blocks: of ``r + 2`` blocks at least two agree. With a required Jaccard
-similarity the sizes of two sets fix ``r``, so joining pairs of agreeing blocks loses no pair. Candidates are verified
-on the features themselves.
+similarity the sizes of two sets fix ``r``, so joining pairs of agreeing blocks loses no pair. Where the agreeing blocks
+may be empty, a second fingerprint tells the sets apart. Candidates are verified on the features themselves.
 """
 
 from __future__ import annotations
@@ -83,9 +83,13 @@ def block_keys(sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     grid = f"r -> if(r <= {PAIRED_RADIUS}, r, cast(ceil(r / shiftleft(1, cast(log2(r) as int) - 2)) * shiftleft(1, cast(log2(r) as int) - 2) as int))"
     radii = f"array_distinct(transform(transform(sequence(cast(ceil(n * {p} / {q}) as int), cast(floor(n * {q} / {p}) as int)), b -> cast(floor((n + b) * {q - p} / {q + p}) as int)), {grid}))"
     r = n.select("cls", "gold", "codes", F.explode(F.expr(radii)).alias("r")).withColumn("segments", F.expr(f"if(r <= {PAIRED_RADIUS}, r + 2, r + 1)"))
-    blocks = r.withColumn("blocks", F.expr("transform(sequence(0, segments - 1), i -> aggregate(filter(codes, c -> pmod(c, segments) = i), 0L, (x, c) -> x ^ xxhash64(c)))"))
-    pairs = "flatten(transform(sequence(0, segments - 2), i -> transform(sequence(i + 1, segments - 1), j -> xxhash64(gold, r, i, j, blocks[i], blocks[j]))))"
-    single = "transform(sequence(0, segments - 1), i -> xxhash64(gold, r, i, blocks[i]))"
+    fold = "transform(sequence(0, segments - 1), i -> aggregate(filter({0}, c -> pmod(c, segments) = i), 0L, (x, c) -> x ^ xxhash64(c)))"
+    blocks = r.withColumn("blocks", F.expr(fold.format("codes"))).withColumn("again", F.expr(fold.format("transform(codes, c -> xxhash64(c, 2))")))
+    # blocks without a feature agree in many sets: their key takes up those of a second fingerprint, of which as many agree
+    second_pairs = "flatten(transform(sequence(0, segments - 2), k -> transform(sequence(k + 1, segments - 1), l -> xxhash64(gold, r, i, j, k, l, again[k], again[l]))))"
+    second_single = "transform(sequence(0, segments - 1), k -> xxhash64(gold, r, i, k, again[k]))"
+    pairs = f"flatten(flatten(transform(sequence(0, segments - 2), i -> transform(sequence(i + 1, segments - 1), j -> if(blocks[i] = 0 and blocks[j] = 0, {second_pairs}, array(xxhash64(gold, r, i, j, blocks[i], blocks[j])))))))"
+    single = f"flatten(transform(sequence(0, segments - 1), i -> if(blocks[i] = 0, {second_single}, array(xxhash64(gold, r, i, blocks[i])))))"
     return blocks.select("cls", F.explode(F.expr(f"if(r <= {PAIRED_RADIUS}, {pairs}, {single})")).alias("key"))
 
 

@@ -61,7 +61,7 @@ def brier_ece(scored: DataFrame, bins: int = 10) -> DataFrame:
 def _score_counts(scored: DataFrame) -> DataFrame:
     """``(score, pos, neg)`` per distinct score, scores at six decimals."""
     y = F.col("label").cast("int")
-    return scored.groupBy(F.round("score", 6).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    return scored.groupBy((F.col("score") + 0.0).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
 def running_totals(counts: DataFrame, key: str, columns: list[str], buckets: int = 200) -> DataFrame:
@@ -119,6 +119,32 @@ def multiset_prf(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> Data
     )
 
 
+def span_scores(samples: DataFrame, gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """One row: exact spans of ``predicted(key, start, end)`` against ``gold``, over the sets of each of ``samples(key, failed)``.
+
+    samples, invalid_outputs, tp, fp, fn, precision, recall, f1, the share of samples whose sets are equal, and gold spans
+    that weren't found but hold at least two predicted spans. The gold spans of a failed sample are all missed, its
+    predictions don't count.
+    """
+    known = samples.select(key, F.coalesce("failed", F.lit(False)).alias("failed")).groupBy(key).agg(F.max("failed").alias("failed"))
+    g = gold.select(key, "start", "end").distinct().join(known, key).select("*", F.lit(1).alias("g"))
+    p = predicted.select(key, "start", "end").distinct().join(known.where("not failed").select(key), key, "left_semi").select("*", F.lit(1).alias("p"))
+    both = g.join(p, [key, "start", "end"], "full").select(key, "start", "end", F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"), "failed")
+    per = both.groupBy(key).agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
+    missed = both.where("g = 1 and p = 0 and not failed").select(key, F.struct("start", "end").alias("id"), "start", "end")
+    inside = overlaps(missed, p.select(key, F.struct("start", "end").alias("id"), "start", "end"), key).where("right_id.start >= left_id.start and right_id.end <= left_id.end")
+    broken = inside.groupBy(key, "left_id").agg(F.count("*").alias("n")).where("n >= 2").agg(F.count("*").alias("fragmented"))
+    rows = known.join(per, key, "left").na.fill(0, ["tp", "fp", "fn"])
+    exact = (~F.col("failed") & (F.col("fp") + F.col("fn") == 0)).cast("double")
+    one = rows.agg(
+        F.count("*").alias("samples"), F.count_if("failed").alias("invalid_outputs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")], F.coalesce(F.avg(exact), F.lit(0.0)).alias("exact_rate")
+    )
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    out = one.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), F.lit(1).alias("__k"))
+    return out.join(F.broadcast(broken.withColumn("__k", F.lit(1))), "__k").drop("__k")
+
+
 def label_f1(pairs: DataFrame) -> DataFrame:
     """``(label, tp, fp, fn, f1)`` per label of ``pairs(gold, predicted)``; null on a side counts as no label."""
     g = pairs.where("gold is not null").groupBy(F.col("gold").alias("label")).agg(F.sum(F.when(F.col("predicted") == F.col("gold"), 1).otherwise(0)).alias("tp"), F.count("*").alias("g"))

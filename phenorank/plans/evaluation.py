@@ -80,7 +80,7 @@ def brier_ece(spark, d):
 
 @query(
     _SCORED
-    + """, c AS (SELECT round(score, 6) + 0.0 AS score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1),
+    + """, c AS (SELECT score + 0.0 AS score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1),
 r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT round(sum(pos * (before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM r"""
 )
@@ -90,7 +90,7 @@ def auc(spark, d):
 
 @query(
     _SCORED
-    + """, c AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT round(score, 6) + 0.0 AS score, label AS pos, 1 - label AS neg FROM scored UNION ALL SELECT 0.5, 0, 0) GROUP BY 1),
+    + """, c AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT score + 0.0 AS score, label AS pos, 1 - label AS neg FROM scored UNION ALL SELECT 0.5, 0, 0) GROUP BY 1),
 r AS (SELECT *, coalesce(sum(neg) OVER w, 0) AS bn, coalesce(sum(pos) OVER w, 0) AS bp FROM c WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT score, round(((SELECT sum(pos) FROM c) - bp) / (SELECT sum(pos) FROM c) / 2 + bn / (SELECT sum(neg) FROM c) / 2, 10) AS ba FROM r)
 SELECT score AS threshold, round(ba, 6) AS balanced_accuracy FROM b ORDER BY ba DESC, abs(score - 0.5), score LIMIT 1"""
@@ -196,6 +196,23 @@ def rule_mentions(spark, d):
     )
 
 
+@query(
+    """WITH s AS (SELECT DISTINCT report_id, span_start AS a, span_end AS b, hpo_id IS NOT NULL AS gold, coalesce(linking_confidence >= 0.5, false) AS found FROM phenotype_mention WHERE report_id IS NOT NULL AND span_start IS NOT NULL AND span_end IS NOT NULL),
+g AS (SELECT DISTINCT report_id, a, b FROM s WHERE gold), p AS (SELECT DISTINCT report_id, a, b FROM s WHERE found),
+c AS (SELECT coalesce(g.report_id, p.report_id) AS report_id, coalesce(g.a, p.a) AS a, coalesce(g.b, p.b) AS b, (g.a IS NOT NULL)::INT AS g, (p.a IS NOT NULL)::INT AS p FROM g FULL JOIN p ON g.report_id = p.report_id AND g.a = p.a AND g.b = p.b),
+per AS (SELECT report_id, sum(g * p) AS tp, sum((1 - g) * p) AS fp, sum(g * (1 - p)) AS fn FROM c GROUP BY 1),
+broken AS (SELECT count(*) AS fragmented FROM (SELECT c.report_id, c.a, c.b FROM c JOIN p ON p.report_id = c.report_id AND c.g = 1 AND c.p = 0 AND p.a >= c.a AND p.b <= c.b AND p.b > p.a GROUP BY ALL HAVING count(*) >= 2)),
+one AS (SELECT count(*) AS samples, coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp, coalesce(sum(fn), 0)::BIGINT AS fn, avg((coalesce(fp, 0) + coalesce(fn, 0) = 0)::INT) AS exact FROM (SELECT DISTINCT report_id FROM s) LEFT JOIN per USING (report_id))
+SELECT samples, 0::BIGINT AS invalid_outputs, tp, fp, fn, round(exact, 6) AS exact_rate, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, fragmented FROM one, broken"""
+)
+def span_score(spark, d):
+    """Exact spans of the mentions linked with confidence against those of the mentions that a reviewer linked, per report."""
+    m = table(spark, d, "phenotype_mention").where("report_id is not null and span_start is not null and span_end is not null")
+    m = m.select("report_id", F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("hpo_id").isNotNull().alias("gold"), (F.col("linking_confidence") >= 0.5).alias("found"))
+    samples = m.select("report_id", F.lit(False).alias("failed")).distinct()
+    return metrics.span_scores(samples, m.where("gold"), m.where("found"), "report_id").select("samples", "invalid_outputs", "tp", "fp", "fn", *six("exact_rate", "precision", "recall", "f1"), "fragmented")
+
+
 _SPANS = """WITH s AS (SELECT DISTINCT mention_id AS id, report_id, span_start, span_end, lower(trim(assertion)) = 'present' AS found FROM phenotype_mention WHERE report_id IS NOT NULL AND mention_id IS NOT NULL AND span_end > span_start)
 """
 

@@ -129,10 +129,10 @@ def catalog_csv(spark: SparkSession, path: str, include_obsolete: bool = False)
     name = next((plain[n] for n in ("name", "hponame", "label", "tenhpo") if n in plain), None)
     if id_ is None or name is None:
         raise ValueError("an id and a name column are needed")
-    rows = raw.select(normalize_term_id(F.col(f"`{id_}`")).alias("hpo_id"), F.trim(F.col(f"`{name}`")).alias("name")).where("hpo_id is not null and name is not null")
+    rows = raw.select(normalize_term_id(F.col(f"`{id_}`")).alias("hpo_id"), F.trim(F.col(f"`{name}`")).alias("name"), F.monotonically_increasing_id().alias("at")).where("hpo_id is not null and name is not null")
     if not include_obsolete:
         rows = rows.where(~F.lower("name").startswith("obsolete"))
-    return rows.groupBy("hpo_id").agg(F.min("name").alias("name"))
+    return rows.groupBy("hpo_id").agg(F.min_by("name", "at").alias("name"))
 
 
 def lexicon_csv(spark: SparkSession, path: str, allow_unreviewed: bool = False) -> DataFrame:

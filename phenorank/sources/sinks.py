@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,29 +42,56 @@ def digest(df: DataFrame) -> str:
     return hashlib.sha256("|".join(str(x) for x in sums).encode()).hexdigest()
 
 
+def _file(folder: str, name: str):
+    """Hadoop's path and file system of a file, so that artifacts can lie wherever Spark reads and writes."""
+    spark = SparkSession.active()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _put(folder: str, name: str, text: str) -> None:
+    """Written under another name and then renamed, so that no reader meets half a file."""
+    (part, fs), (path, _) = _file(folder, f".{name}.part"), _file(folder, name)
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, path):
+        raise OSError(f"{name} can't be put in place")
+
+
+def _get(folder: str, name: str) -> str:
+    path, fs = _file(folder, name)
+    if not fs.exists(path):
+        return ""
+    try:
+        return SparkSession.active().read.text(path.toString(), wholetext=True).collect()[0][0]
+    except (Py4JError, PySparkException) as error:  # the file system's own checksum
+        raise ValueError(f"{name} was changed") from error
+
+
 def save_artifact(folder: str, files: dict[str, dict]) -> str:
-    """Write JSON files with a manifest of their hashes; the manifest's hash is returned. An existing folder is refused."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=False)
+    """Write JSON files with a manifest of their hashes to any folder Spark can write; the manifest's hash is returned. An existing folder is refused."""
+    path, fs = _file(folder, ".")
+    if fs.exists(path):
+        raise FileExistsError(folder)
     manifest = {}
     for name, content in sorted(files.items()):
         text = json.dumps(content, sort_keys=True, allow_nan=False)
-        (root / f"{name}.json").write_text(text)
+        _put(folder, f"{name}.json", text)
         manifest[name] = hashlib.sha256(text.encode()).hexdigest()
     text = json.dumps(manifest, sort_keys=True)
-    (root / "manifest.json").write_text(text)
+    _put(folder, "manifest.json", text)  # last: without it there is no artifact
     return hashlib.sha256(text.encode()).hexdigest()
 
 
 def load_artifact(folder: str, expected: str | None = None) -> dict[str, dict]:
     """The files of an artifact; fails where one, or the manifest's ``expected`` hash, doesn't agree."""
-    root = Path(folder)
-    text = (root / "manifest.json").read_text()
-    if expected is not None and hashlib.sha256(text.encode()).hexdigest() != expected:
+    text = _get(folder, "manifest.json")
+    if not text or expected is not None and hashlib.sha256(text.encode()).hexdigest() != expected:
         raise ValueError("the manifest isn't the expected one")
     out = {}
     for name, want in json.loads(text).items():
-        content = (root / f"{name}.json").read_text()
+        content = _get(folder, f"{name}.json")
         if hashlib.sha256(content.encode()).hexdigest() != want:
             raise ValueError(f"{name} was changed")
         out[name] = json.loads(content)

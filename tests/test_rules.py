@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenorank.functions import scalars
-from phenorank.operators import annotations, clauses, ontology, text
+from phenorank.operators import annotations, clauses, metrics, ontology, text
 
 
 @pytest.fixture(scope="module")
@@ -102,6 +102,16 @@ def test_smaller_operators(spark):
     assert [tuple(r) for r in text.extract_with(texts, "doc_id", "text", lambda t: ["heart", "lung", ""]).collect()] == [(1, "heart")]
 
 
+def test_span_scores(spark):
+    samples = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("d", None), ("a", False)], "k string, failed boolean")
+    gold = spark.createDataFrame([("a", 0, 5), ("a", 0, 5), ("a", 10, 20), ("b", 1, 2), ("c", 0, 9)], "k string, start int, end int")
+    pred = spark.createDataFrame([("a", 0, 5), ("a", 10, 14), ("a", 15, 20), ("b", 1, 2), ("c", 0, 9), ("x", 0, 1)], "k string, start int, end int")
+    r = metrics.span_scores(samples, gold, pred, "k").collect()[0]
+    assert (r.samples, r.invalid_outputs, r.tp, r.fp, r.fn, r.fragmented) == (4, 1, 2, 2, 2, 1) and (r.exact_rate, r.precision, r.recall, r.f1) == (0.5, 0.5, 0.5, 0.5)
+    none = metrics.span_scores(samples.limit(0), gold, pred, "k").collect()[0]
+    assert (none.samples, none.tp, none.f1, none.fragmented) == (0, 0, 0.0, 0)
+
+
 def test_catalog_search(spark):
     cat = spark.createDataFrame([("HP:0000001", "Giãn não thất", "Dilation of ventricle", "não to"), ("HP:0000002", "Não thất giãn nhẹ", "Ventricle, mild", None), ("HP:0000003", None, "Heart", "ventricular heart"), (None, "x", "x", "x")], "id string, vi string, en string, synonyms string")
     q = spark.createDataFrame([(1, "giãn não thất"), (2, "hp:0000002"), (3, "ventric"), (4, "nã th"), (5, ""), (6, None), (7, "heart"), (8, "v")], "query_id int, query string")

@@ -450,3 +450,30 @@ def disease_rerank(spark, d):
 @query("SELECT DISTINCT case_id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split FROM (SELECT case_id, ('0x' || substr(sha256(case_id), 1, 8))::BIGINT % 100 AS b FROM calibration_case WHERE case_id IS NOT NULL)")
 def hash_split(spark, d):
     return table(spark, d, "calibration_case").where("case_id is not null").select("case_id", scalars.hash_split(F.col("case_id")).alias("split")).distinct()
+
+
+@query(
+    base.ALL
+    + ", firsts AS (SELECT case_id, profile_id FROM ranked WHERE rank <= 20)"
+    + base.evidence_sql("evidence", "firsts")
+    + """, matched AS (
+  SELECT case_id, profile_id, ord, matched_term, relation, term FROM (
+    SELECT *, row_number() OVER (PARTITION BY case_id, profile_id, matched_term ORDER BY ord) AS n FROM evidence WHERE status <> 'ABSENT' AND relation IN ('exact', 'profile_ancestor', 'profile_descendant', 'semantic'))
+  WHERE n = 1),
+m AS (SELECT case_id, profile_id, string_agg(matched_term || ' ' || relation || ' ' || term, ', ' ORDER BY ord, matched_term) AS matched FROM matched GROUP BY ALL),
+lacking AS (SELECT f.case_id, f.profile_id, string_agg(p.term, ', ' ORDER BY round(p.freq, 10) DESC, p.term) AS to_check FROM firsts f JOIN pos p ON p.profile_id = f.profile_id
+  WHERE (f.case_id, p.term) NOT IN (SELECT (case_id, term) FROM clean) AND (f.case_id, f.profile_id, p.term) NOT IN (SELECT (case_id, profile_id, matched_term) FROM matched) GROUP BY ALL),
+names AS (SELECT database_id AS profile_id, min(disease_name) AS name, string_agg(DISTINCT nullif(regexp_extract(biocuration, ':([a-z]+)', 1), ''), ', ' ORDER BY nullif(regexp_extract(biocuration, ':([a-z]+)', 1), '')) AS genes FROM hpoa_annotation GROUP BY 1),
+modes AS (SELECT database_id AS profile_id, string_agg(DISTINCT upper(trim(hpo_id)), ', ' ORDER BY upper(trim(hpo_id))) AS modes FROM hpoa_annotation WHERE aspect = 'I' AND coalesce(upper(qualifier), '') <> 'NOT' AND hpo_id IS NOT NULL GROUP BY 1)
+SELECT r.case_id, r.rank, r.profile_id, n.name, round(least(1, greatest(0, r.ic_coverage)) * 100, 1) AS match_percentage, coalesce(m.matched, '') AS matched, coalesce(i.modes, '') AS modes, coalesce(n.genes, '') AS genes,
+  coalesce(l.to_check, '') AS to_check, round(r.conflict, 6) AS conflict
+FROM ranked r LEFT JOIN m ON m.case_id = r.case_id AND m.profile_id = r.profile_id LEFT JOIN lacking l ON l.case_id = r.case_id AND l.profile_id = r.profile_id
+  LEFT JOIN names n ON n.profile_id = r.profile_id LEFT JOIN modes i ON i.profile_id = r.profile_id WHERE r.rank <= 20"""
+)
+def match_report(spark, d):
+    """The whole answer to a request, for every case: the twenty first profiles with what matched, inheritance, genes (stand-ins) and what to check."""
+    top = base.top(spark, d, 20)
+    ev = base.evidence(spark, d, top)
+    facts = table(spark, d, "hpoa_annotation").select(F.col("database_id").alias("profile_id"), F.col("disease_name").alias("name"), F.nullif(F.regexp_extract("biocuration", ":([a-z]+)", 1), F.lit("")).alias("gene"))
+    modes = annotations.inheritance(table(spark, d, "hpoa_annotation")).select("profile_id", F.array_join("terms", ", ").alias("modes"))
+    return downstream.match_report(top, ev, base.positive(spark, d), base.case_observations(spark, d), facts, modes)

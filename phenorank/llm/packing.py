@@ -33,7 +33,7 @@ TASK_TOKENS = 4_000_000
 #: Containers filled less than this are packed once more.
 WELL_FILLED = 0.97
 #: An item over the capacity isn't cut into less than this, but for its rest and to fill a container.
-LEAST_PIECE = 64
+LEAST_PIECE = 256
 
 _encodings: dict[int, object] = {}
 

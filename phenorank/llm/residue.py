@@ -213,7 +213,8 @@ def _unit_kind(unit: str) -> str:
     if _NUMBERED.fullmatch(unit):
         return "furniture"
     words = _WORD.findall(unit)
-    if words and not _SENTENCE.search(unit) and sum(w in LATIN for w in words) >= 0.8 * len(words) and (len(words) > 2 or "lorem" in words):
+    least = 1.0 if _SENTENCE.search(unit) else 0.8  # of several sentences one may be real
+    if words and sum(w in LATIN for w in words) >= least * len(words) and (len(words) > 2 or "lorem" in words):
         return "bad"
     return "content"
 

@@ -132,13 +132,13 @@ FROM live i LEFT JOIN best b ON b.node = i.id
 """
 
 P3_DESCENDANTS_SQL = _LINKS + """
-reach(node, anc, dist) AS (
+reach(node, anc, dist) USING KEY (node, anc) AS (
   SELECT child, parent, 1 FROM links
   UNION
-  SELECT r.node, l.parent, r.dist + 1 FROM reach r JOIN links l ON l.child = r.anc WHERE r.dist < (SELECT count(*) FROM live)
-    AND r.dist < 60
+  SELECT r.node, l.parent, min(r.dist + 1) FROM reach r JOIN links l ON l.child = r.anc LEFT JOIN recurring.reach k ON k.node = r.node AND k.anc = l.parent
+  WHERE k.dist IS NULL OR k.dist > r.dist + 1 GROUP BY r.node, l.parent
 )
-SELECT anc AS hpo_id, node AS descendant_id, min(dist) AS distance FROM reach WHERE anc <> node GROUP BY anc, node
+SELECT anc AS hpo_id, node AS descendant_id, dist AS distance FROM reach WHERE anc <> node
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -71,24 +71,23 @@ def _pattern(regex: str) -> str:
     return "'" + regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _number(x: str) -> str:
+def _number(x: str) -> dict[str, str]:
     """Of a number's text: ``decimal``, its value with the comma, or the last of two kinds of mark, as decimal mark;
     ``thousands``, with commas as thousands marks, null where they can't be; ``whole``, where any mark is one. Null for no text."""
-    struct = "named_struct('decimal', {0}, 'thousands', {1}, 'whole', {2})"
-    none = "cast(null as double)"
-    decimal = (
-        f"try_cast(case when {x} rlike '[.].*,' then replace(replace({x}, '.', ''), ',', '.') when {x} rlike ',.*[.,]' then replace({x}, ',', '')"
-        f" when {x} rlike '[.].*[.]' then replace({x}, '.', '') else replace({x}, ',', '.') end as double)"
-    )
-    thousands = f"case when {x} rlike '^[1-9][0-9]{{0,2}}(,[0-9]{{3}})+$' then try_cast(replace({x}, ',', '') as double) end"
-    whole = f"case when {x} rlike '^[1-9][0-9]{{0,2}}([.,][0-9]{{3}})+$' then try_cast(regexp_replace({x}, '[.,]', '') as double) end"
-    plain = struct.format(f"try_cast({x} as double)", none, none)
-    return f"case when {x} = '' then null when instr({x}, ',') = 0 and instr({x}, '.') = 0 then {plain} else {struct.format(decimal, thousands, whole)} end"
+    comma, point = f"instr({x}, ',') > 0", f"instr({x}, '.') > 0"
+    return {
+        "decimal": (
+            f"try_cast(case when {x} = '' then null when not ({comma}) and not ({point}) then {x} when {x} rlike '[.].*,' then replace(replace({x}, '.', ''), ',', '.')"
+            f" when {x} rlike ',.*[.,]' then replace({x}, ',', '') when {x} rlike '[.].*[.]' then replace({x}, '.', '') else replace({x}, ',', '.') end as double)"
+        ),
+        "thousands": f"case when {comma} and {x} rlike '^[1-9][0-9]{{0,2}}(,[0-9]{{3}})+$' then try_cast(replace({x}, ',', '') as double) end",
+        "whole": f"case when ({comma} or {point}) and {x} rlike '^[1-9][0-9]{{0,2}}([.,][0-9]{{3}})+$' then try_cast(regexp_replace({x}, '[.,]', '') as double) end",
+    }
 
 
 def _share(number: str, factor: str, offset: str = "0D") -> str:
     """A comma marks thousands only where the share then stays within the whole."""
-    return f"(coalesce(case when {number}.thousands * {factor} + {offset} <= 1 then {number}.thousands end, {number}.decimal) * {factor} + {offset})"
+    return f"(coalesce(case when {number}_thousands * {factor} + {offset} <= 1 then {number}_thousands end, {number}_decimal) * {factor} + {offset})"
 
 
 def common_share(df: DataFrame, categories: DataFrame, raw: str = "frequency_raw", kind: str = "frequency_kind", out: str = "share_ppm") -> DataFrame:
@@ -143,20 +142,21 @@ def common_share(df: DataFrame, categories: DataFrame, raw: str = "frequency_raw
     t = t.join(F.broadcast(text_unit), F.col("__alias") == F.col("__ta"), "left")
     t = t.join(F.broadcast(kind_unit), F.col("__kind") == F.col("__ka"), "left")
 
-    t = t.withColumns({f"__x{k}": F.expr(f"replace({c}, ' ', '')") for k, c in enumerate(("__ra", "__rb", "__qa", "__qb", "__sa"))})
-    t = t.withColumns({f"__n{k}": F.expr(_number(f"__x{k}")) for k in range(5)})
+    # a text has one form at most, so two numbers are all there is to read
+    t = t.withColumns({f"__x{k}": F.expr(f"replace(coalesce({c}), ' ', '')") for k, c in enumerate(("nullif(__ra, ''), nullif(__qa, ''), __sa", "nullif(__rb, ''), __qb"))})
+    t = t.withColumns({f"__n{k}_{name}": F.expr(value) for k in range(2) for name, value in _number(f"__x{k}").items()})
     t = t.withColumns(
         {
-            "__f": F.expr("coalesce(__tf, __kf, case when coalesce(if(__rb <> '', __n1.decimal, __n4.decimal), 0D) <= 1 then 1D else 0.01D end)"),
+            "__f": F.expr("coalesce(__tf, __kf, case when coalesce(if(__rb <> '', __n1_decimal, __n0_decimal), 0D) <= 1 then 1D else 0.01D end)"),
             "__o": F.expr("coalesce(__to, __ko, 0D)"),
-            "__total": F.expr("coalesce(__n3.whole, __n3.decimal)"),
+            "__total": F.expr("coalesce(__n1_whole, __n1_decimal)"),
         }
     )
     share = (
         "case when __code <> '' or __label_share is not null then coalesce(__code_share, __label_share) / 1000000D"
         f" when __rb <> '' then ({_share('__n0', '__f', '__o')} + {_share('__n1', '__f', '__o')}) / 2"
-        f" when __qb <> '' then case when __total > 0 then {_share('__n2', '(1D / __total)')} end"
-        f" when __sa <> '' then {_share('__n4', '__f', '__o')} end"
+        f" when __qb <> '' then case when __total > 0 then {_share('__n0', '(1D / __total)')} end"
+        f" when __sa <> '' then {_share('__n0', '__f', '__o')} end"
     )
     keep = [F.col(f"`{c}`") for c in base.columns]
     t = t.withColumn("__share", F.expr(share))

@@ -109,6 +109,17 @@ def test_blocks(spark, toy, monkeypatch, blocks):
     assert {r.relation for r in alone} == {"no_match"} and {r.matched_term for r in alone} == {None}
 
 
+def test_matches_are_packed(toy, monkeypatch):
+    """A block has so many profiles as its matrices allow, and a term's matches in it are one row."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ranking, "BLOCK_CELLS", 6)  # three terms: two profiles
+    seen = {r.profile_id: r["rank"] for r in ranking.top_profiles(*toy["engine"]).collect()}
+    assert seen == {"DX:3": 1, "DX:1": 2, "DX:2": 3, "DX:4": 4, "DX:5": 5}
+    rows = pa.table({"no": pa.array([1, 0, 1], pa.int32()), "at": pa.array([0, 1, 1], pa.int32()), "probability": [0.1, 0.2, 0.3], "sim": [1.0, 0.5, 0.25], "flags": pa.array([7, 4, 4], pa.int8())})
+    assert ranking._packed((pa.scalar(0),), rows).num_rows == 2
+
+
 def test_sanitation(spark, toy):
     def rows(*pairs):
         data = [("C", n, t, s, "fetus", None, None, None, None, None) for n, (t, s) in enumerate(pairs)]

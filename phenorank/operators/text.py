@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +177,58 @@ def largest_matching(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted((a, b) for b, a in owner.items())
 
 
+def largest_span_matching(left: list[tuple[int, int, object]], right: list[tuple[int, int, object]]) -> list[tuple]:
+    """A largest set of (left, right) ids of spans ``(start, end, id)`` that overlap, no two of which share a span, without a list of edges.
+
+    In the order of ends, each span takes the open one of the other side that ends first: what overlaps that one overlaps
+    every other that it could take, so no other choice leaves more.
+    """
+    spans = sorted([(end, start, 0, name) for start, end, name in left] + [(end, start, 1, name) for start, end, name in right], key=lambda s: (s[0], s[1], s[2], s[3]))
+    begins = [sorted((start, k) for k, (_, start, side, _) in enumerate(spans) if side == own) for own in (0, 1)]
+    opened, at, taken, out = ([], []), [0, 0], bytearray(len(spans)), []
+    for k, (end, _, side, name) in enumerate(spans):
+        if taken[k]:
+            continue
+        other = 1 - side
+        while at[other] < len(begins[other]) and begins[other][at[other]][0] < end:
+            heapq.heappush(opened[other], begins[other][at[other]][1])
+            at[other] += 1
+        while opened[other] and (taken[opened[other][0]] or opened[other][0] < k):
+            heapq.heappop(opened[other])
+        if opened[other]:
+            mate = heapq.heappop(opened[other])
+            taken[k] = taken[mate] = 1
+            out.append((name, spans[mate][3]) if side == 0 else (spans[mate][3], name))
+    return sorted(out)
+
+
+def matched_intervals(spans: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """``(key, left_id, right_id)``: a largest matching per key of the overlapping spans of ``spans(key, id, start, end, found)``, found ones being the left.
+
+    Keys without spans of both sides are left out before, the others go to Python by the bucket.
+    """
+    rows = spans.where("found is not null").select(key, "id", "start", "end", "found")
+    both = rows.groupBy(key).agg(F.min("found").alias("a"), F.max("found").alias("b")).where("a <> b").select(key)
+    rows = rows.join(both, key, "left_semi").withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    schema = rows.select(key, F.col("id").alias("left_id"), F.col("id").alias("right_id")).schema
+
+    def match(table: pa.Table) -> pa.Table:
+        sides: dict[object, tuple[list, list]] = {}
+        for name, found, *span in zip(*(table.column(c).to_pylist() for c in (key, "found", "start", "end", "id")), strict=True):
+            sides.setdefault(name, ([], []))[0 if found else 1].append(tuple(span))
+        out = []
+        for name, (left, right) in sides.items():
+            if all(len({x[2] for x in side}) == len(side) for side in (left, right)):
+                pairs = largest_span_matching(left, right)
+            else:  # one id with several spans is one end of an edge
+                pairs = largest_matching([(x[2], y[2]) for x in left for y in right if x[0] < y[1] and y[0] < x[1]])
+            out.extend((name, *pair) for pair in pairs)
+        kinds = [table.schema.field(c).type for c in (key, "id", "id")]
+        return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=[key, "left_id", "right_id"])
+
+    return rows.groupBy("__b").applyInArrow(match, schema)
+
+
 def matched_spans(edges: DataFrame, key: str) -> DataFrame:
     """``(key, left_id, right_id)``: a largest matching of overlapping spans per key, from ``overlaps`` edges."""
     schema = edges.select(key, "left_id", "right_id").schema

@@ -55,6 +55,21 @@ def test_overlaps_and_matching(spark):
         assert len(m) == best and set(m) <= set(e) and len({x for x, _ in m}) == len(m) == len({y for _, y in m})
 
 
+def test_span_matching_without_edges(spark):
+    """As large as by augmenting paths over all edges; four thousand spans over one another are no sixteen million edges."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        spans = lambda n: [(s := rng.randrange(30), s + rng.choice([1, 3, 9, 20]), k) for k in range(n)]  # noqa: B023, E731
+        a, b = spans(12), spans(12)
+        edges = {(x[2], y[2]) for x in a for y in b if x[0] < y[1] and y[0] < x[1]}
+        got = text.largest_span_matching(a, b)
+        assert set(got) <= edges and len({x for x, _ in got}) == len(got) == len({y for _, y in got}) == len(text.largest_matching(list(edges)))
+    many = spark.range(8000).selectExpr("'R' island", "id", "id start", "id + 9000 end", "id % 2 = 0 found")
+    assert text.matched_intervals(many, "island").count() == 4000
+    twice = spark.createDataFrame([("R", 1, 0, 5, True), ("R", 1, 6, 9, True), ("R", 2, 0, 5, False), ("R", 3, 6, 9, False), ("S", 4, 0, 1, True)], "island string, id bigint, start int, end int, found boolean")
+    assert text.matched_intervals(twice, "island").count() == 1
+
+
 def test_alignment():
     assert text.align_uniquely("big heart and small heart", ["big", "heart", "small"]) == [(0, 3), (4, 9), (14, 19)]
     assert text.align_uniquely("heart heart", ["heart"]) is None
@@ -90,6 +105,27 @@ def test_genes(spark):
     assert {r.reason: r.n for r in downstream.exclusion_reasons(judged).collect()} == {"duplicate": 1, "weight_below_gate": 1, "profile_not_ranked": 1}
 
 
+def test_repeated_before_the_join(spark):
+    """Which of a repeated association counts is told by its kind of evidence, once for all cases."""
+    ranks = spark.createDataFrame([("C", "D1", 1), ("E", "D1", 2)], "case_id string, profile_id string, rank int")
+    schema = "profile_id string, gene string, evidence_type string, association_id string, source string, test_evidence_type string"
+    a = spark.createDataFrame([("D1", "G1", "curated", "A", "S", k) for k in ("sequencing", "array")], schema).coalesce(1)
+    judged = downstream.judged_associations(a, ranks)
+    assert {(r.case_id, r.test_evidence_type, r.reason) for r in judged.collect()} == {(c, k, w) for c in "CE" for k, w in (("array", None), ("sequencing", "duplicate"))}
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+
+
+def test_features_as_lists(spark):
+    positive = spark.createDataFrame([("D", t, f) for t, f in (("b", 0.5), ("a", 0.5), ("c", 0.9), ("d", 0.1))] + [("N", "a", 0.2)], "profile_id string, term string, freq double")
+    pairs = spark.createDataFrame([("C", "D"), ("X", "D"), ("C", "N")], "case_id string, profile_id string")
+    got = downstream.features_to_check(pairs, positive, spark.createDataFrame([("C", "a"), ("C", "z")], "case_id string, term string"), 3)
+    assert sorted((r.case_id, r.profile_id, r.term, r.freq, r.pos) for r in got.collect()) == [
+        ("C", "D", "b", 0.5, 2), ("C", "D", "c", 0.9, 1), ("C", "D", "d", 0.1, 3), ("X", "D", "a", 0.5, 2), ("X", "D", "b", 0.5, 3), ("X", "D", "c", 0.9, 1),
+    ]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_review(spark):
     sheet = spark.createDataFrame([(1, "HP:0000001", "PRESENT", "fetus"), (2, None, None, "mother"), (3, "HP:0000003", "ABSENT", "mother")], "mention_id bigint, hpo_id string, status string, subject string")
     decisions = spark.createDataFrame([(1, "HP:0000001", "edit", "hp_0000009"), (2, None, "reject", None), (3, "HP:0000007", "accept", None), (9, None, "accept", None)], "mention_id bigint, seen_hpo_id string, action string, new_hpo_id string")

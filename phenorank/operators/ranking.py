@@ -26,7 +26,9 @@ IC_BONUS, EXACT_BONUS, ANCESTOR_BONUS, CONFLICT_COST = 0.50, 0.25, 0.10, 0.75
 IC_PART, EXACT_PART, ANCESTOR_PART, CONFLICT_PART = 0.45, 0.30, 0.25, 0.50
 SEMANTIC_SHARE = 0.25
 #: Most profiles, places in a matrix of terms and profiles, and cases that one task scores.
-BLOCK_PROFILES, BLOCK_CELLS, BLOCK_CASES = 4096, 2_000_000, 65536
+BLOCK_PROFILES, BLOCK_CELLS, BLOCK_CASES = 4096, 1_500_000, 65536
+#: Cases whose results are held as single arrays.
+CHUNK_CASES = 1024
 #: So many tasks at least, as long as each has so many cases.
 LEAST_TASKS, LEAST_CASES = 12, 1024
 
@@ -186,6 +188,7 @@ _PACKED = "pb bigint, no int, ats binary, probabilities binary, sims binary, fla
 
 def _packed(key: tuple, rows: pa.Table) -> pa.Table:
     """The matches of one block of profiles, one row per term, as the bytes of their arrays."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives back at once what a task no longer needs
     no, *values = (rows.column(c).to_numpy() for c in ("no", "at", "probability", "sim", "flags"))
     order = np.argsort(no, kind="stable")
     no, values = no[order], [v[order] for v in values]
@@ -355,6 +358,8 @@ def top_profiles(
         right = right.unionByName(here.select("case_id", "profile_id", *[F.col(c) if counting and c in wanted.columns else F.lit(None).cast("double").alias(c) for c in ("k0", "k1", "k2")], block, "pb"), True)
 
     def score(key: tuple, profiles: pa.Table, rows: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        chunks: list[pa.Table] = []
         of, places_, counts, values = [], [], [], []
         if not profiles.num_rows or not rows.num_rows:
             return _found(None, None, None, of, places_, counts, values)
@@ -369,6 +374,9 @@ def top_profiles(
                 asked.setdefault(case_id, []).append(tuple(line))
             names, case_ids = data.ids.to_pylist(), ids.to_pylist()
         for c, case in enumerate(cases):
+            if len(of) >= CHUNK_CASES:
+                chunks.append(_found(ids, data.ids, data.concepts if by_concept else None, of, places_, counts, values))
+                of, places_, counts, values = [], [], [], []
             if asking and case_ids[c] not in asked:
                 continue
             if asking and not counting:
@@ -398,7 +406,7 @@ def top_profiles(
             of.append(np.full(len(at), c))
             places_.append(at)
             values.append([got[k] for k in ("exact", "ancestor", "ic", "conflict", "ll")])
-        return _found(ids, data.ids, data.concepts if by_concept else None, of, places_, counts, values)
+        return pa.concat_tables([*chunks, _found(ids, data.ids, data.concepts if by_concept else None, of, places_, counts, values)])
 
     best = left.groupBy("pb", "cb").cogroup(right.groupBy("pb", "cb")).applyInArrow(score, _TOP)
     if counting:

@@ -116,6 +116,17 @@ def test_repeated_before_the_join(spark):
     assert plan.index("Join") < plan.index("Window")
 
 
+def test_summed_before_the_join(spark):
+    """Summed per profile, gene and kind, associations rank the same genes."""
+    ranks = spark.createDataFrame([("C", "D1", 1), ("C", "D2", 2), ("E", "D2", 11)], "case_id string, profile_id string, rank int")
+    schema = "profile_id string, gene string, evidence_type string, association_id string, source string, test_evidence_type string"
+    a = spark.createDataFrame([("D1", "G1", "curated", "A", "S", "array"), ("D1", "G1", "limited", "B", "S", "array"), ("D1", "G1", "limited", "B", "S", "sequencing"), ("D2", "G2", "strong", "A", "S", "array"), ("D2", "G1", "candidate", "A", "S", "array")], schema)
+    summed = downstream.explained(a, ranks)
+    assert sorted((r.case_id, r.gene, r.times) for r in summed.collect()) == [("C", "G1", 2), ("C", "G2", 1)]
+    rows = lambda judged: [(r.case_id, r.gene, round(r.score, 9), r.explanations, r["rank"]) for r in downstream.gene_ranking(judged).orderBy("rank").collect()]
+    assert rows(summed) == rows(downstream.judged_associations(a, ranks)) == [("C", "G1", 1.25, 2, 1), ("C", "G2", 0.4, 1, 2)]
+
+
 def test_features_as_lists(spark):
     positive = spark.createDataFrame([("D", t, f) for t, f in (("b", 0.5), ("a", 0.5), ("c", 0.9), ("d", 0.1))] + [("N", "a", 0.2)], "profile_id string, term string, freq double")
     pairs = spark.createDataFrame([("C", "D"), ("X", "D"), ("C", "N")], "case_id string, profile_id string")

@@ -120,6 +120,25 @@ def test_matches_are_packed(toy, monkeypatch):
     assert ranking._packed((pa.scalar(0),), rows).num_rows == 2
 
 
+def test_only_the_final_rows_leave_a_task(spark, toy, monkeypatch):
+    """Blocks of profiles meet in the task that has the case: nothing is ranked or shuffled again after it."""
+    monkeypatch.setattr(ranking, "BLOCK_CELLS", 3)  # a profile a block
+    concepts = spark.createDataFrame([("DX:3", "X"), ("DX:1", "X"), ("DX:4", "Y"), ("DX:5", "Y")], "profile_id string, concept_id string")
+    for options, want in (({}, ["DX:3", "DX:1"]), ({"strategy": "LIKELIHOOD_SCORE"}, ["DX:2", "DX:3"]), ({"concepts": concepts}, ["DX:3", "DX:2"])):
+        got = ranking.top_profiles(*toy["engine"], top_k=2, **options)
+        assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert [(r["rank"], r.profile_id) for r in got.orderBy("rank").collect()] == list(enumerate(want, 1))
+
+
+def test_matches_that_share_their_values_are_runs():
+    import pyarrow as pa
+
+    rows = pa.table({"no": pa.array([1, 0, 1, 1], pa.int32()), "at": pa.array([0, 1, 1, 2], pa.int32()), "probability": [0.1, 0.2, 0.3, 0.1], "sim": [1.0, 0.5, 0.25, 1.0], "flags": pa.array([7, 4, 4, 7], pa.int8())})
+    got = ranking._packed((pa.scalar(0),), rows).to_pylist()
+    assert [(r["no"], len(r["ats"]), len(r["times"]), len(r["probabilities"])) for r in got] == [(0, 2, 2, 8), (1, 6, 4, 16)]
+    assert ranking._packed((pa.scalar(0),), rows.slice(0, 0)).num_rows == 0
+
+
 def test_sanitation(spark, toy):
     def rows(*pairs):
         data = [("C", n, t, s, "fetus", None, None, None, None, None) for n, (t, s) in enumerate(pairs)]

@@ -6,6 +6,7 @@ import pytest
 
 from phenorank.functions.scalars import EPSILON
 from phenorank.operators import annotations, observations, ontology, probability, ranking
+from phenorank.session import written
 
 H = "HP:"
 LINKS = [
@@ -139,6 +140,18 @@ def test_matches_that_share_their_values_are_runs():
     assert ranking._packed((pa.scalar(0),), rows.slice(0, 0)).num_rows == 0
 
 
+def test_evidence_shuffles_wide_rows_once(spark, toy):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        obs, known, by_term, by_profile, stats, ic = toy["engine"]
+        by_profile = written(by_profile, "by_profile")[0]
+        plan = ranking.evidence(toy["pairs"], obs, known, by_term, by_profile, stats, ic)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("BroadcastHashJoin") == 2
+
+
 def test_sanitation(spark, toy):
     def rows(*pairs):
         data = [("C", n, t, s, "fetus", None, None, None, None, None) for n, (t, s) in enumerate(pairs)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenorank.operators.hierarchy import closure
-from phenorank.session import discard, written
+from phenorank.session import broadcast_if_small, discard, written
 
 ROOT_BACKGROUND = 1 - 1e-4
 LEAST_IC = 1e-9
@@ -136,6 +136,25 @@ def mica(pairs: DataFrame, closed_terms: DataFrame, stats: DataFrame) -> DataFra
     return best.select("a", "b", F.col("m.anc").alias("mica"), F.col("m.ic").alias("ic"))
 
 
+def mica_within(rows: DataFrame, key: str, closed_terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(a, b, mica, ic)``, see :func:`mica`, for each two terms ``a < b`` that a ``key`` of ``rows(key, term)`` has in common.
+
+    Terms are numbered by information and id, so that the best of two terms' common ancestors is the largest number in
+    both their lists. The lists meet where a key's terms meet; a pair leaves that join as three numbers, so that no row
+    per pair and ancestor is ever made or shuffled.
+    """
+    numbered = stats.select("term", "ic", F.row_number().over(Window.orderBy("ic", "term")).alias("no"))
+    numbered, _ = written(numbered, "numbered")
+    above = closed_terms.select("term", "anc").join(broadcast_if_small(numbered.select(F.col("term").alias("anc"), F.col("no").alias("x"))), "anc")
+    lists, _ = written(above.groupBy("term").agg(F.collect_set("x").alias("above")).join(broadcast_if_small(numbered.select("term", "no")), "term"), "lists")
+    own = rows.select(key, "term").distinct().join(lists, "term")
+    a, b = (own.select(key, *[F.col(c).alias(f"{c}_{side}") for c in ("term", "no", "above")]) for side in "ab")
+    met = a.join(b, key).where("term_a < term_b").select((F.shiftleft(F.col("no_a").cast("bigint"), 32) + F.col("no_b")).alias("pair"), F.array_max(F.array_intersect("above_a", "above_b")).alias("m"))
+    best = met.where("m is not null").distinct().select(F.shiftright("pair", 32).cast("int").alias("na"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("nb"), "m")
+    name = lambda c, out, *more: broadcast_if_small(numbered.select(F.col("no").alias(c), F.col("term").alias(out), *more))
+    return best.join(name("na", "a"), "na").join(name("nb", "b"), "nb").join(name("m", "mica", "ic"), "m").select("a", "b", "mica", "ic")
+
+
 def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -135,9 +135,7 @@ SELECT a, b, (max(struct_pack(ic := ic, anc := anc))).anc AS mica, round(max(ic)
 )
 def mica_of_profile_terms(spark, d):
     """For each two terms of a profile, their most informative common ancestor."""
-    t = base.profile_rows(spark, d).select("profile_id", "term").distinct()
-    pairs = t.withColumnRenamed("term", "a").join(t.withColumnRenamed("term", "b"), "profile_id").where("a < b").select("a", "b").distinct()
-    return ontology.mica(pairs, base.closed(spark, d), base.stats(spark, d)).select("a", "b", "mica", *six("ic"))
+    return ontology.mica_within(base.profile_rows(spark, d), "profile_id", base.closed(spark, d), base.stats(spark, d)).select("a", "b", "mica", *six("ic"))
 
 
 @query(base.ONTOLOGY + base.OBSERVATIONS + "SELECT case_id, ord, term, status, round(w, 9) AS w FROM clean")

@@ -152,6 +152,17 @@ def test_evidence_shuffles_wide_rows_once(spark, toy):
     assert plan.count("BroadcastHashJoin") == 2
 
 
+def test_common_ancestors_within_profiles(spark, toy):
+    """The same as pair by pair, without a row per pair and ancestor."""
+    rows = spark.createDataFrame([*[(p, t) for p, t, _ in POSITIVE], ("DX:6", "HP:1000112"), ("DX:6", "HP:1000111"), ("DX:6", "HP:1000021"), ("DX:6", "HP:9999999")], "profile_id string, term string")
+    b = rows.select("profile_id", rows.term.alias("b"))
+    pairs = rows.withColumnRenamed("term", "a").join(b, "profile_id").where("a < b").select("a", "b").distinct()
+    want = {tuple(r) for r in ontology.mica(pairs, toy["closed"], toy["stats"]).collect()}
+    got = ontology.mica_within(rows, "profile_id", toy["closed"], toy["stats"]).select("a", "b", "mica", "ic").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 4
+    assert {(r.a, r.b): r.mica for r in got}["HP:1000111", "HP:1000112"] == "HP:1000011"
+
+
 def test_sanitation(spark, toy):
     def rows(*pairs):
         data = [("C", n, t, s, "fetus", None, None, None, None, None) for n, (t, s) in enumerate(pairs)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from phenorank.functions.scalars import EPSILON
-from phenorank.operators import annotations, observations, ontology, probability, ranking
+from phenorank.operators import annotations, downstream, observations, ontology, probability, ranking
 from phenorank.session import written
 
 H = "HP:"
@@ -163,6 +163,15 @@ def test_common_ancestors_within_profiles(spark, toy):
     assert {(r.a, r.b): r.mica for r in got}["HP:1000111", "HP:1000112"] == "HP:1000011"
 
 
+def test_report_has_no_row_per_profile_and_term(spark, toy):
+    obs, positive = toy["obs"], spark.createDataFrame(POSITIVE, "profile_id string, term string, freq double")
+    ranks = toy["scores"].withColumn("rank", ranking.F.lit(1))
+    facts, modes = spark.createDataFrame([("DX:1", "one", None)], "profile_id string, name string, gene string"), spark.createDataFrame([], "profile_id string, modes string")
+    got = downstream.match_report(ranks, toy["rows"].where("ord = 2"), positive, obs, facts, modes)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.profile_id: r.to_check for r in got.collect()} == {"DX:1": "HP:1000111", "DX:2": "HP:1000011", "DX:3": "", "DX:4": "HP:1000002"}
+
+
 def test_sanitation(spark, toy):
     def rows(*pairs):
         data = [("C", n, t, s, "fetus", None, None, None, None, None) for n, (t, s) in enumerate(pairs)]
